@@ -1,0 +1,38 @@
+"""The registered queries of the corpus operators, over whole tables and with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkfold.llm import packing, quality_rules, token_orc
+from linkfold.llm.common import scratch_path
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_orc.ids_digest(token_orc.read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op7_token_orc)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
