@@ -59,6 +59,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, text_column: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows whose text passes, with all columns as they are: a scan, without a join back to the rows."""
+    at = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(mask(batch.column(at))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and the offsets between them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
