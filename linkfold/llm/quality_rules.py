@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import WORD_SPACE, map_batches
+from linkfold.llm.common import WORD_SPACE, map_batches, materialise
 
 SYMBOLS = b"#*$%&|<>"
 #: Ratios that a cutoff may act on, as permille of whole numbers so that bins are exact.
@@ -156,6 +156,5 @@ def verdict(measured: DataFrame, cutoffs: dict[tuple[int, str], int]) -> DataFra
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.03, delta: float = 0.05) -> DataFrame:
     """Counts, base rules and the verdict of each document: id, the counts, base_failed, failed_rules, kept."""
-    measured = measure(docs)
-    marked = docs.join(labels.where("quality in (0, 1)").select("doc_id").distinct(), "doc_id", "left_semi")
-    return verdict(measured, learn_cutoffs(measure(marked), labels, risk, delta))
+    measured = materialise(measure(docs), "counts")  # numbers only: texts are read once and never shuffled
+    return verdict(measured, learn_cutoffs(measured, labels, risk, delta))
