@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import _IS_WORD, _LANES, filter_batches, map_batches, mix64, slices, text_buffer, word_hashes
+from linkfold.llm.common import _IS_WORD, _LANES, filter_batches, map_batches, materialise, mix64, slices, text_buffer, word_hashes
 
 BITS = 20
 SAMPLE = 5000
@@ -188,15 +188,17 @@ def fold(id_column: Column, folds: int) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", folds: int = 5) -> Model:
     """Learns from labelled rows whose fold is not 0. Equal texts count once; a text with both labels teaches nothing."""
-    marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).where("label in (0, 1)").where(fold(F.col("id"), folds) != 0)
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull())
-    keyed = texts.join(marks, "id").select("text", "label", F.xxhash64("text").alias("hash"))
-    one = keyed.groupBy("hash").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    marks = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).alias("label")).where("label in (0, 1)").where(fold(F.col("id"), folds) != 0)
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where(F.col("text").isNotNull())
+    # Only ids and hashes meet the labels; texts are read again for the sample alone.
+    keyed = texts.select("id", F.xxhash64("text").alias("hash")).join(marks, "id")
+    one = materialise(keyed.groupBy("hash").agg(F.min("id").alias("id"), F.min("label").alias("label"), F.max("label").alias("other")).where("label = other"), "labelled")
     n = one.count()
-    # The hash is uniform: its lowest share has about `sample` texts; the limit below cuts the rest.
-    share = min(1.0, 1.1 * sample / max(n, 1))
-    limit = -(2**63) + int(share * (2**64 - 1)) - (0 if share < 1 else 1)
-    chosen = keyed.where(F.col("hash") <= F.lit(limit)).join(one.select("hash", F.col("label").alias("agreed")), "hash").groupBy("hash").agg(F.min("text").alias("text"), F.min("agreed").alias("label"))
+    # The hash is uniform: its lowest share has about `sample` texts; the cut below makes it exact.
+    limit = min(2**63 - 1, -(2**63) + int(1.1 * sample / max(n, 1) * 2**64))
+    drawn = one.where(F.col("hash") <= F.lit(limit)).select("id", "hash", F.col("label").cast("int").alias("label"))
+    # At most about 1.1 * sample rows, a parameter.
+    chosen = texts.join(F.broadcast(drawn), "id").where(F.xxhash64("text") == F.col("hash"))
 
     def extract(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, off = text_buffer(batch.column(1))
@@ -204,8 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
             found = feature_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array([x.tobytes() for x in found], pa.binary())], names=["hash", "label", "features"])
 
-    rows = map_batches(chosen.select("hash", "text", F.col("label").cast("int").alias("label")), extract, "hash long, label int, features binary").collect()
-    rows = sorted(rows, key=lambda r: r["hash"])[:sample]
+    found = {r["hash"]: r for r in map_batches(chosen.select("hash", "text", "label"), extract, "hash long, label int, features binary").collect()}
+    rows = [found[h] for h in sorted(found)][:sample]
     return fit([np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64))
 
 
