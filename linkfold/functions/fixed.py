@@ -109,3 +109,5 @@ KNOWN_SCHEMES = ("http://", "https://", "ipfs://", "magnet:", "mailto:", "bitcoi
 FRAME_BYTES, DELTA_HEADER, ANCHOR_HEADER = 34, 38, 2
 #: Least similarity to join an anchor, and most anchors of a shard.
 ANCHOR_SIMILARITY, ANCHORS = 0.35, 255
+#: First bytes of a container, and its version.
+MAGIC, VERSION = b"URLS", 1

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkfold.plans import codecs
+from linkfold.plans import codecs, relational, statistics, storing
 
-PARTS = (codecs,)
+PARTS = (codecs, statistics, storing, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
