@@ -108,7 +108,7 @@ class Shard:
         order = np.argsort(self.doc, kind="stable")
         self.own_term, self.own_weight = term[order].astype(np.int32), self.weight[order]
         self.own_ptr = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = np.zeros(len(self.vocabulary))
+        self.asked = np.zeros(len(self.vocabulary), bool)
 
     def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the sorted terms the shard has, and where."""
@@ -117,44 +117,66 @@ class Shard:
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         return self.vocabulary[at] == terms, at
 
-    def top(self, at: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    def weigh(self, has: np.ndarray, where: np.ndarray, idf: np.ndarray) -> None:
+        """Multiplies the weights of known terms by their idf, once for all queries of a block."""
+        factor = np.zeros(len(self.vocabulary))
+        factor[where[has]] = idf[has]
+        self.score = self.weight * np.repeat(factor, np.diff(self.ptr))
+        self.bound = self.most * factor if len(self.doc) else factor
+        self.block_bound = self.block_most * np.repeat(factor, np.diff(self.block_ptr)) if len(self.doc) else factor
+        self.own_score = self.own_weight * factor[self.own_term] if len(self.doc) else factor
+
+    def top(self, at: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores that may be among the k best, given that k others reach `floor` already."""
-        bound = idf * self.most[at]
+        bound = self.bound[at]
         order = np.argsort(bound, kind="stable")
-        at, idf, bound = at[order], idf[order], bound[order]
-        n = len(self.ids)
+        at, bound = at[order], bound[order]
+        n, sizes = len(self.ids), self.ptr[at + 1] - self.ptr[at]
         slack = 1e-9 * (1 + float(bound.sum()))
         pivot = int(np.searchsorted(np.cumsum(bound), floor - slack)) if floor > 0 else 0
         if pivot >= len(at):
             return np.empty(0, np.int64), np.empty(0)
-        lists, sizes = _ranges(self.ptr, at[pivot:])
-        docs = self.doc[lists]
-        partial = np.bincount(docs, weights=self.weight[lists] * np.repeat(idf[pivot:], sizes), minlength=n)
-        reach = partial
+        total = self._add(self.ptr, at[pivot:], self.doc, self.score, n)
         if pivot:
-            lists, sizes = _ranges(self.block_ptr, at[:pivot])
-            rest = np.bincount(self.block[lists], weights=self.block_most[lists] * np.repeat(idf[:pivot], sizes), minlength=self.blocks)
-            reach = partial + np.repeat(rest, BLOCK)[:n]
-        reach = np.where(partial > 0, reach, -1.0)
-        if not pivot and (found := int((reach > 0).sum())) > k:
-            # Partial scores are whole ones here: the k-th best is known.
-            floor = max(floor, float(np.partition(reach, n - k)[n - k])) if found else floor
-        chosen = np.flatnonzero(reach >= max(floor - slack, 1e-300))
-        if len(chosen) > 4 * k:
-            # The k-th best partial score is a floor too.
-            floor = max(floor, float(np.partition(partial[chosen], len(chosen) - k)[len(chosen) - k]))
-            chosen = chosen[reach[chosen] >= floor - slack]
+            rest = self._add(self.block_ptr, at[:pivot], self.block, self.block_bound, self.blocks)
+            reach = np.where(total > 0, total + np.repeat(rest, BLOCK)[:n], -1.0)
+            chosen = np.flatnonzero(reach >= floor - slack)
+            # Those left get the lists before the pivot: from these lists, or from their own terms, whichever is shorter.
+            if (self.own_ptr[chosen + 1] - self.own_ptr[chosen]).sum() > sizes[:pivot].sum():
+                before = self._add(self.ptr, at[:pivot], self.doc, self.score, n)
+                values = total[chosen] + before[chosen]
+            else:
+                added, ends = self._own(at, chosen)
+                values = np.add.reduceat(added, ends[:-1]) if len(chosen) else np.empty(0)
+        else:
+            chosen = np.flatnonzero(total > 0)
+            values = total[chosen]
+        if len(chosen) > k:
+            floor = max(floor, float(np.partition(values, len(values) - k)[len(values) - k]))
+        chosen = chosen[values >= floor - slack]
         if not len(chosen):
             return np.empty(0, np.int64), np.empty(0)
-        self.query[at] = idf
-        lists, sizes = _ranges(self.own_ptr, chosen)
-        added = self.own_weight[lists] * self.query[self.own_term[lists]]
-        self.query[at] = 0.0
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        scores = np.array([math.fsum(added[a : a + m]) for a, m in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        added, ends = self._own(at, chosen)
+        added, ends = added.tolist(), ends.tolist()
+        scores = np.array([math.fsum(filter(None, added[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)])
         best = np.lexsort((self.ids[chosen], -scores))[:k]
         return self.ids[chosen[best]], scores[best]
 
+    @staticmethod
+    def _add(ptr: np.ndarray, rows: np.ndarray, place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the values of some lists by place."""
+        spans = [slice(a, b) for a, b in zip(ptr[rows].tolist(), ptr[rows + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate([place[x] for x in spans]), weights=np.concatenate([value[x] for x in spans]), minlength=size)
+
+    def _own(self, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each of some documents' own terms adds (0 for those not asked), and where each document's begin."""
+        self.asked[at] = True
+        lists, sizes = _ranges(self.own_ptr, docs)
+        added = self.own_score[lists] * self.asked[self.own_term[lists]]
+        self.asked[at] = False
+        ends = np.r_[0, np.cumsum(sizes)]
+        return added, ends
+
 
 def _ranges(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the given rows' entries one after the other, and the rows' numbers of entries."""
@@ -177,12 +199,15 @@ def search_shards(index: DataFrame, queries: list[tuple[int, np.ndarray]], k: in
             for r in range(batch.num_rows):
                 shard = Shard({n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}, average)
                 has, where = shard.find(vocabulary)
+                if not len(shard.doc):
+                    continue
+                shard.weigh(has, where, idf)
                 for q in range(len(names)):
                     t = term[ptr[q] : ptr[q + 1]]
                     t = t[has[t]]
                     if not len(t):
                         continue
-                    ids, scores = shard.top(where[t], idf[t], k, floor[q])
+                    ids, scores = shard.top(where[t], k, floor[q])
                     if len(ids):
                         merged = sorted([*best[q], *zip((-scores).tolist(), ids.tolist(), strict=True)])[:k]
                         best[q] = merged
