@@ -35,16 +35,19 @@ def blake3_keys(links: DataFrame) -> DataFrame:
     return links.withColumn("__k", run("url")).select(*links.columns, "__k.*")
 
 
-def allocate(links: DataFrame, store: DataFrame, key=sha_key, code_length: Column | None = None, lengths=LENGTHS) -> DataFrame:
+def allocate(links: DataFrame, store: DataFrame, key=sha_key, code_length: Column | None = None, lengths=LENGTHS, carry: DataFrame | None = None) -> DataFrame:
     """Keys for links in order of seq: each takes the shortest key that is free or already its own.
 
     Equal to one link after the other: keys of different lengths never meet, so at each length the earliest of those
     that lost all shorter ones takes a free key. A link whose stateless code is not longer than a key goes without
-    (key null). store: key, url. Returns seq, url, key; raises KeysExhausted where all lengths are taken.
+    (key null). store: key, url. carry: url and further columns for `key` and `code_length`. Returns seq, url, key; raises KeysExhausted where all lengths are taken.
     """
     own = Window.partitionBy("url").orderBy("seq")
     first = links.withColumn("__nth", F.row_number().over(own)).where("__nth = 1").select("seq", "url")
+    if carry is not None:
+        first = first.join(carry, "url")
     left = first.withColumn("__code", code_length if code_length is not None else F.lit(1000))
+    columns = left.columns
     done = None
     for n in lengths:
         short = left.where(F.col("__code") <= n).select("seq", "url", F.lit(None).cast("string").alias("key"))
@@ -56,7 +59,7 @@ def allocate(links: DataFrame, store: DataFrame, key=sha_key, code_length: Colum
         tried = tried.withColumn("__rank", F.row_number().over(order))
         wins = F.when(F.col("__held").isNotNull(), F.col("__held") == F.col("url")).otherwise(F.col("__rank") == 1)
         won = tried.where(wins).select("seq", "url", "key")
-        left = tried.where(~wins).select("seq", "url", "__code")
+        left = tried.where(~wins).select(*columns)
         part = won.unionByName(short)
         done = part if done is None else done.unionByName(part)
     exhausted = left.select("seq", "url", F.raise_error(F.lit("all keys of this link are taken")).cast("string").alias("key"))
