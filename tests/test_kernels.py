@@ -74,3 +74,26 @@ def test_scaled_frequencies():
 
 def test_non_ascii_links_are_percent_encoded():
     assert k.resolve(k.encode("https://x.com/é")) == "https://x.com/%C3%A9"
+
+
+def smallest_of_all(url, freqs):
+    """The code by trying each form, without bounds."""
+    link = k.ascii_link(k.normalize(url))
+    plain = k.trans_pack(k.tokenize(link.encode()))
+    packed = k.grammar_pack(*k.repair(plain))
+    grammar = packed if len(packed) < len(plain) + 1 else b"\x00" + plain
+    forms = [b"\x02" + plain, b"\x00" + grammar, b"\x01" + len(grammar).to_bytes(2, "little") + k.rans_encode(grammar, freqs)]
+    code = "0" + k.base66_encode(min(forms, key=len))
+    found = k.template_match(link)
+    other = found and "3" + k.base66_encode(k.trans_pack(k.template_pack(*found)))
+    return other if other and len(other) < len(code) else code
+
+
+SKEWED = tuple(k.frequencies([1000 if chr(i) in "abc/" else 1 for i in range(256)]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(URLS, st.text("ab/", min_size=1, max_size=120), st.builds(lambda a, n: (a * n)[:200], st.text("xyz01/", min_size=1, max_size=9), st.integers(1, 60))), st.sampled_from([None, SKEWED]))
+def test_bounds_skip_no_shorter_form(url, freqs):
+    if url.strip():
+        assert k.encode(url, freqs) == smallest_of_all(url, freqs or k.generic_frequencies())
