@@ -17,7 +17,7 @@ from linkfold.sources.links import lines_of, read_links
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="linkfold")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, *arguments in (("encode", "url"), ("decode", "code"), ("check", "url"), ("verify", "file"), ("train", "links", "profiles"), ("ingest", "links", "store"), ("report", "links", "out"), ("export", "links", "file"), ("open", "file"), ("stat", "store")):
+    for name, *arguments in (("encode", "url"), ("decode", "code"), ("check", "url"), ("verify", "file"), ("train", "links", "profiles"), ("ingest", "links", "store"), ("report", "links", "out"), ("export", "links", "file"), ("open", "file"), ("stat", "store"), ("serve", "port")):
         command = sub.add_parser(name)
         for a in arguments:
             command.add_argument(a)
@@ -42,6 +42,11 @@ def main(argv: list[str] | None = None) -> int:
         for _, code in objects.open_container(data)[2]:
             print(kernels.resolve(code.decode()))
         return 0
+    if args.command == "serve":
+        from linkfold.server import serve
+
+        serve(int(args.port))
+        return 0
     spark = SparkSession.builder.appName("linkfold").getOrCreate()
     if args.command == "train":
         profile = api.train(lines_of(spark, args.links).select(F.lit(0).alias("seq"), F.col("line").alias("url")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkfold.functions import codec, kernels
-from linkfold.operators import objects, store
+from linkfold.operators import objects, records, store
 from linkfold.plans import duck
 from linkfold.sources.links import delimiter_column, fields, link_column, order_links, page_links, third_field, with_scheme
 
@@ -137,6 +137,26 @@ def cluster(spark: S, sf_dir: str) -> D:
     return store.cluster(links)
 
 
+def store_records(spark: S, sf_dir: str) -> D:
+    """Links stored as records and read back through their anchors."""
+    links = page_links(spark, sf_dir).withColumn("shard", store.route(F.sha2("url", 256), 4))
+    return records.read_records(records.records(links))
+
+
+def seal_layout(spark: S, sf_dir: str) -> D:
+    """The sealed index of each shard's links, with every key looked up."""
+    rows = log_offsets(spark, sf_dir).join(order_links(spark, sf_dir), "seq")
+    one = rows.groupBy("shard", F.unhex(F.sha2("url", 256)).alias("digest")).agg(F.min("offset").alias("offset"))
+    return records.seal(one)
+
+
+def zstd_dict(spark: S, sf_dir: str) -> D:
+    """Links through a trained dictionary and back."""
+    links = order_links(spark, sf_dir)
+    pack, unpack = records.dictionary_udfs(records.train_dictionary(links, 16 << 10))
+    return links.withColumn("packed", pack("url")).select("seq", unpack("packed").alias("url"))
+
+
 def arc_replay(spark: S, sf_dir: str) -> D:
     """The events as accesses of users' keys, through four caches."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -274,7 +294,7 @@ def hits(spark: S, sf_dir: str) -> D:
 
 
 def queries() -> dict:
-    return {f"q_{f.__name__}": f for f in (store_put_dedup, store_get, expand, shorten_alloc, shorten_blake3, route, log_offsets, store_stats, elias, front_code, nearest_anchor, cluster, arc_replay, blob, manifest, manifest_merge, gset, dangling, container_roundtrip, report_scales, batch_stats, corpus_totals, lines, ingest_csv, format_sniff, http_route, hits)}
+    return {f"q_{f.__name__}": f for f in (store_put_dedup, store_get, expand, shorten_alloc, shorten_blake3, route, log_offsets, store_stats, elias, front_code, nearest_anchor, cluster, store_records, seal_layout, zstd_dict, arc_replay, blob, manifest, manifest_merge, gset, dangling, container_roundtrip, report_scales, batch_stats, corpus_totals, lines, ingest_csv, format_sniff, http_route, hits)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -291,6 +311,9 @@ def oracle_sql() -> dict[str, str]:
         "q_elias": duck.links(body=f", {offsets}, n AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS i, \"offset\" AS v FROM o WHERE shard = 0), w AS (SELECT CASE WHEN max(v) > count(*) THEN floor(log2(max(v) // count(*) + 0.0000001))::INTEGER ELSE 0 END AS w FROM n) SELECT i, v, v % (1::BIGINT << w) AS low, i + (v >> w) AS high FROM n, w"),
         "q_front_code": FRONT,
         "q_nearest_anchor": ANCHOR,
+        "q_store_records": "SELECT page_id AS seq, url, NULL::VARCHAR AS error FROM pages",
+        "q_seal_layout": duck.links(body=f", k AS (SELECT {_SHARD} AS shard, count(DISTINCT url) AS keys FROM links GROUP BY ALL) SELECT shard, keys, greatest(keys // 3, 1) AS pilots, keys + greatest(keys // 4, 16) AS slots, 2 * greatest(keys // 3, 1) + 9 * (keys + greatest(keys // 4, 16)) AS bytes, true AS exact FROM k"),
+        "q_zstd_dict": duck.links(body="SELECT seq, url FROM links"),
         "q_blob": "SELECT sha256(data) AS hash, min(data) AS data, count(*) AS refs FROM (SELECT regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS data FROM pages) GROUP BY 1",
         "q_manifest": f"WITH {_SETS} SELECT g, sha256(unhex(array_to_string(list_sort(list_distinct(a)), ''))) AS id, len(a) AS items FROM s",
         "q_manifest_merge": f"WITH {_SETS} SELECT g, sha256(unhex(array_to_string(list_sort(list_distinct(a || b)), ''))) AS id, len(list_distinct(a || b))::BIGINT AS items FROM s",
