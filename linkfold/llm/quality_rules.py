@@ -23,9 +23,9 @@ from linkfold.llm.common import WORD_SPACE, map_batches, materialise
 
 SYMBOLS = b"#*$%&|<>"
 #: Ratios that a cutoff may act on, as permille of whole numbers so that bins are exact.
-RATIOS = ("symbols", "dup_lines", "repeats", "upper", "exclaims", "word_length")
+RATIOS = ("symbols", "dup_lines", "upper", "word_length")
 #: Upper ends of strata by number of words; the last is open.
-STRATA = (50, 200, 1000)
+STRATA = (100, 400)
 BINS = 40
 SCHEMA = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaims long"
 
@@ -76,9 +76,7 @@ def ratio_bins() -> dict[str, Column]:
     return {
         "symbols": per("n_symbols", "n_words", 20),
         "dup_lines": per("n_dup_lines", "n_lines", BINS),
-        "repeats": per("n_repeat_words", "n_words", BINS * 2),
         "upper": per("n_upper", "word_chars", BINS),
-        "exclaims": per("n_exclaims", "n_words", 20),
         "word_length": per("word_chars", "n_words", 1),
     }
 
@@ -154,7 +152,7 @@ def verdict(measured: DataFrame, cutoffs: dict[tuple[int, str], int]) -> DataFra
     return measured.withColumns({"base_failed": base_failed(), "failed_rules": rules}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.03, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Counts, base rules and the verdict of each document: id, the counts, base_failed, failed_rules, kept."""
     measured = materialise(measure(docs), "counts")  # numbers only: texts are read once and never shuffled
     return verdict(measured, learn_cutoffs(measured, labels, risk, delta))
