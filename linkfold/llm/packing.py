@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkfold.llm.common import slices, text_buffer
-from linkfold.llm.tokens import encoder
+from linkfold.llm.tokens import CALL_BYTES, encoder
 
 SCHEMA = "id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
         for batch in batches:
             _, off = text_buffer(batch.column(1))
-            for i, j in slices(off):
+            for i, j in slices(off, CALL_BYTES):
                 yield from zip(batch.column(0)[i:j].to_pylist(), encoder(vocabulary).encode(batch.column(1)[i:j].to_pylist()), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

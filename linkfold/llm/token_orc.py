@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkfold.llm.common import map_batches, slices, text_buffer
-from linkfold.llm.tokens import encoder
+from linkfold.llm.tokens import CALL_BYTES, encoder
 
 SCHEMA = "part int, id long, part_start long, n_tokens long, ids array<int>"
 _ARROW = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -49,7 +49,7 @@ def encode_sorted(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             _, off = text_buffer(batch.column(1))
-            for i, j in slices(off):
+            for i, j in slices(off, CALL_BYTES):
                 coded = encoder(vocabulary).encode(batch.column(1)[i:j].to_pylist())
                 sizes = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
                 starts = start + np.r_[0, np.cumsum(sizes)]

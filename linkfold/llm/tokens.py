@@ -24,7 +24,9 @@ _WORDS = re.compile(f"[^{_SPACE}]+")
 _STEM = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@[-`{-~]+)")
 
 #: Pieces kept for reuse in one Python worker; a bound on its memory and of no influence on the ids.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
+#: Text of one call: its pieces are made distinct together.
+CALL_BYTES = 4 << 20
 END_ID = 1
 
 
@@ -78,8 +80,8 @@ class PieceEncoder:
         plain = [i for i, x in enumerate(pieces) if mark not in x and (not self.keeps_space or x[0] == " " and not x.isspace())]
         alone = sorted(set(range(len(pieces))).difference(plain)) if len(plain) < len(pieces) else []
         mark_id = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        for a in range(0, len(plain), 512):
-            group = plain[a : a + 512]
+        for a in range(0, len(plain), 64):
+            group = plain[a : a + 64]
             joined = f"{space}{mark}{space}".join(pieces[i] for i in group)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == mark_id[0])
