@@ -3,7 +3,8 @@
 Features are indicators of hashed n-grams: words (1 and 2) and word shapes (1 to 3); a shape is the kinds of a word's
 first and last characters and whether it repeats the word before. Each indicator is scaled by the log-ratio of its
 smoothed counts in the two classes, and a linear hinge-loss model is fitted to the scaled indicators by dual
-coordinate descent. A part of the sample that the model has not seen sets the logistic curve from margin to score.
+coordinate descent. Margins of texts that a model has not seen, by cross-validation, set the logistic curve from margin
+to score.
 
 The model is fitted on at most `sample` distinct labelled texts, chosen by their hash; documents are scored whole.
 """
@@ -143,23 +144,33 @@ def dual_coordinate_descent(sets: list[np.ndarray], values: np.ndarray, labels:
     return w, bias
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, c: float = 0.05) -> Model:
-    """Fits on four fifths, sets the logistic curve on the last fifth. One class alone gives a constant score."""
+def _train(sets: list[np.ndarray], labels: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+    ratios = log_ratios(sets, labels)
+    weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    mean_norm = float(np.mean([float(ratios[s] @ ratios[s]) for s in sets[:500]])) or 1.0
+    w, bias = dual_coordinate_descent(sets, ratios, labels, c * weight * 50 / mean_norm)
+    return (w * ratios).astype(np.float32), bias
+
+
+def fit(sets: list[np.ndarray], labels: np.ndarray, c: float = 0.05, folds: int = 5) -> Model:
+    """Fits on all; margins of folds that a model has not seen set the logistic curve. One class alone, or fewer than
+    two texts of a class, gives a constant score."""
     n = len(sets)
     share = (float(labels.sum()) + 0.5) / (n + 1)
-    prior = math.log(share / (1 - share))
-    if n < 10 or labels.min() == labels.max():
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, prior)
-    held = np.arange(n) % 5 == 4
-    train, tune = np.flatnonzero(~held), np.flatnonzero(held)
-    y = labels[train]
-    ratios = log_ratios([sets[i] for i in train], y)
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    mean_norm = float(np.mean([float(ratios[sets[i]] @ ratios[sets[i]]) for i in train[:500]])) or 1.0
-    w, bias = dual_coordinate_descent([sets[i] for i in train], ratios, y, c * weight * 50 / mean_norm)
-    w = (w * ratios).astype(np.float32)
-    margins = np.array([float(w[sets[i]].sum(dtype=np.float64)) + bias for i in tune])
-    slope, intercept = _logistic(margins, labels[tune])
+    if n < 10 or labels.sum() < 2 or (1 - labels).sum() < 2:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, math.log(share / (1 - share)))
+    # Folds by turns within each class, so that each has its share of the rare one.
+    part = np.zeros(n, np.int64)
+    for y in (0, 1):
+        own = np.flatnonzero(labels == y)
+        part[own] = np.arange(len(own)) % folds
+    margins = np.zeros(n)
+    for f in range(folds):
+        seen, held = np.flatnonzero(part != f), np.flatnonzero(part == f)
+        w, bias = _train([sets[i] for i in seen], labels[seen], c)
+        margins[held] = [float(w[sets[i]].sum(dtype=np.float64)) + bias for i in held]
+    slope, intercept = _logistic(margins, labels)
+    w, bias = _train(sets, labels, c)
     return Model(w, bias, slope, intercept)
 
 
