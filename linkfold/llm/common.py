@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,12 +27,14 @@ _LANES = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 _powers = np.ones(1, dtype=np.uint64)
 
 
+@functools.cache
+def _own_root() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='linkfold-')}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder named by spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='linkfold-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
     return f"{root.rstrip('/')}/linkfold-{label}-{uuid.uuid4().hex}"
 
 
