@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Texts are handled in slices of about this many bytes, so that memory follows one slice and not an Arrow batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of one Arrow batch: with texts of any length, memory follows the batch.
+BATCH_ROWS = 2000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -51,6 +53,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches at most BATCH_ROWS rows; a lower setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty partitions give no rows."""
 
@@ -59,7 +69,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def filter_batches(df: DataFrame, text_column: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
@@ -71,7 +81,7 @@ def filter_batches(df: DataFrame, text_column: str, mask: Callable[[pa.Array], n
             if batch.num_rows:
                 yield batch.filter(pa.array(mask(batch.column(at))))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

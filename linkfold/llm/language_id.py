@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ TOTAL_CHARS = 400_000
 #: Texts drawn for each language, at most.
 TRAIN_TEXTS = 200
 SEGMENT = 1024
+#: Text whose segments advance together.
+CALL_BYTES = 2 << 20
 #: Distinct letters that automata know, the most frequent ones; any other letter is a phrase by itself.
 ALPHABET = 62
 UNKNOWN = "und"
@@ -59,35 +62,34 @@ def normalise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
     """Transitions as a flat table: entry state + symbol is the next state, or 0. States are multiples of `width`, the
     root is `width`."""
-    links, lengths, edges = [-1], [0], [{}]
+    # Rows of one flat array, at most two for each symbol; no objects by state, as a worker keeps what it once took.
+    table = array("i", bytes(4 * width * (2 * len(text) + 2)))
+    links, lengths = array("i", [-1]), array("i", [0])
     last = 0
     for c in text.tolist():
         new = len(links)
         links.append(0)
         lengths.append(lengths[last] + 1)
-        edges.append({})
-        p = last
-        while p >= 0 and c not in edges[p]:
-            edges[p][c] = new
+        entry, p = (new + 1) * width, last
+        while p >= 0 and not table[(p + 1) * width + c]:
+            table[(p + 1) * width + c] = entry
             p = links[p]
         if p >= 0:
-            q = edges[p][c]
+            q = table[(p + 1) * width + c] // width - 1
             if lengths[q] == lengths[p] + 1:
                 links[new] = q
             else:
                 clone = len(links)
                 links.append(links[q])
                 lengths.append(lengths[p] + 1)
-                edges.append(dict(edges[q]))
-                while p >= 0 and edges[p].get(c) == q:
-                    edges[p][c] = clone
+                table[(clone + 1) * width : (clone + 2) * width] = table[(q + 1) * width : (q + 2) * width]
+                old, entry = (q + 1) * width, (clone + 1) * width
+                while p >= 0 and table[(p + 1) * width + c] == old:
+                    table[(p + 1) * width + c] = entry
                     p = links[p]
                 links[q] = links[new] = clone
         last = new
-    table = np.zeros((len(links) + 1) * width, np.int32)
-    at = np.fromiter(((i + 1) * width + c for i, e in enumerate(edges) for c in e), np.int64)
-    table[at] = np.fromiter(((q + 1) * width for e in edges for q in e.values()), np.int64)
-    return table
+    return np.frombuffer(table, np.int32)[: (len(links) + 1) * width].copy()
 
 
 class Parser:
@@ -195,7 +197,7 @@ def identify(docs: DataFrame, texts: tuple[tuple[str, str], ...], id_column: str
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         parser = _parser(texts)
         _, off = text_buffer(batch.column(1))
-        for i, j in slices(off):
+        for i, j in slices(off, CALL_BYTES):
             lang, score = parser.predict(batch.column(1)[i:j].to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
@@ -209,7 +211,7 @@ def keep_known(docs: DataFrame, texts: tuple[tuple[str, str], ...], text_column:
     def known(column: pa.Array) -> np.ndarray:
         parser = _parser(texts)
         _, off = text_buffer(column)
-        return np.array([lang != UNKNOWN for i, j in slices(off) for lang in parser.predict(column[i:j].to_pylist())[0]], dtype=bool)
+        return np.array([lang != UNKNOWN for i, j in slices(off, CALL_BYTES) for lang in parser.predict(column[i:j].to_pylist())[0]], dtype=bool)
 
     return filter_batches(docs, text_column, known)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import map_batches, materialise, mix64, shingle_sets, slices, text_buffer
+from linkfold.llm.common import bounded_batches, map_batches, materialise, mix64, shingle_sets, slices, text_buffer
 
 WIDTH = 5
 #: Similarity as a fraction of whole numbers: a link has FOUR * union <= FIVE * intersection.
@@ -122,11 +122,10 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
                         if len(seen) < SEEN:
                             seen.add(key)
                 if fresh:
-                    slot = (np.concatenate(fresh) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)
-                    table += np.bincount(slot, minlength=len(table)).astype(np.uint32)
+                    np.add.at(table, (np.concatenate(fresh) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), np.uint32(1))
         yield from _chunks(table)
 
-    chunks = docs.select("text").select(F.lit(0).alias("id"), "text").mapInArrow(run, "chunk int, data binary")
+    chunks = bounded_batches(docs.select(F.lit(0).alias("id"), "text")).mapInArrow(run, "chunk int, data binary")
     counts = _gather(chunks, COUNTERS_LOG2, "<u4", lambda a, b: a + b)
     return np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8)
 
@@ -199,7 +198,7 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     columns = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (salts, classes, sizes, places))]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "class", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, salt int, class long, n int, pos int")
+    return bounded_batches(docs).mapInArrow(run, "token long, salt int, class long, n int, pos int")
 
 
 def shared_postings(found: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import map_batches, materialise, slices, text_buffer, word_hashes
+from linkfold.llm.common import bounded_batches, map_batches, materialise, slices, text_buffer, word_hashes
 
 K1, B = 1.2, 0.75
 #: Text of one shard, and of one block of queries.
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             yield _index_batch(parts, ids)
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull())
-    return rows.mapInArrow(run, _INDEX)
+    return bounded_batches(rows).mapInArrow(run, _INDEX)
 
 
 class Shard:

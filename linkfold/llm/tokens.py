@@ -24,9 +24,9 @@ _WORDS = re.compile(f"[^{_SPACE}]+")
 _STEM = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@[-`{-~]+)")
 
 #: Pieces kept for reuse in one Python worker; a bound on its memory and of no influence on the ids.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 400_000
 #: Text of one call: its pieces are made distinct together.
-CALL_BYTES = 4 << 20
+CALL_BYTES = 2 << 20
 END_ID = 1
 
 
