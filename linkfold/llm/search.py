@@ -26,7 +26,7 @@ from linkfold.llm.common import bounded_batches, map_batches, materialise, slice
 
 K1, B = 1.2, 0.75
 #: Text of one shard, and of one block of queries.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 QUERY_BYTES = 24 << 20
 #: Documents of one block for block maxima.
 BLOCK = 64
@@ -90,23 +90,25 @@ class Shard:
         get = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
         self.ids, self.lengths = get("ids", np.int64), get("lengths", np.int64)
         self.vocabulary, self.ptr = get("vocabulary", np.uint64), get("term_ptr", np.int64)
-        self.doc, tf = get("post_doc", np.int32), get("post_tf", np.int32).astype(np.float64)
+        self.doc, tf = get("post_doc", np.int32), get("post_tf", np.int32)
         norm = K1 * (1 - B + B * self.lengths / max(average, 1e-9))
-        self.weight = tf * (K1 + 1) / (tf + norm[self.doc])
+        self.weight = norm[self.doc]
+        self.weight += tf
+        np.divide(tf * (K1 + 1), self.weight, out=self.weight)
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
         if not len(self.doc):
             return
         self.most = np.maximum.reduceat(self.weight, self.ptr[:-1])
         # Block maxima: postings of a term are in order of documents, so those of a block lie together.
-        term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.ptr))
-        cell = term * self.blocks + self.doc // BLOCK
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        term = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), np.diff(self.ptr))
+        of = self.doc // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])])
         self.block, self.block_most = (self.doc[first] // BLOCK).astype(np.int32), np.maximum.reduceat(self.weight, first)
         self.block_ptr = np.searchsorted(first, self.ptr)
         # The documents' own terms, in order of their hash.
         order = np.argsort(self.doc, kind="stable")
-        self.own_term, self.own_weight = term[order].astype(np.int32), self.weight[order]
+        self.own_term, self.own_weight = term[order], self.weight[order]
         self.own_ptr = np.searchsorted(self.doc[order], np.arange(n + 1))
         self.asked = np.zeros(len(self.vocabulary), bool)
 
@@ -118,13 +120,14 @@ class Shard:
         return self.vocabulary[at] == terms, at
 
     def weigh(self, has: np.ndarray, where: np.ndarray, idf: np.ndarray) -> None:
-        """Multiplies the weights of known terms by their idf, once for all queries of a block."""
+        """Multiplies the weights of the queries' terms by their idf, in place and once for all queries of a block."""
         factor = np.zeros(len(self.vocabulary))
         factor[where[has]] = idf[has]
-        self.score = self.weight * np.repeat(factor, np.diff(self.ptr))
-        self.bound = self.most * factor if len(self.doc) else factor
-        self.block_bound = self.block_most * np.repeat(factor, np.diff(self.block_ptr)) if len(self.doc) else factor
-        self.own_score = self.own_weight * factor[self.own_term] if len(self.doc) else factor
+        self.score, self.own_score, self.block_bound = self.weight, self.own_weight, self.block_most
+        self.score *= np.repeat(factor, np.diff(self.ptr))
+        self.block_bound *= np.repeat(factor, np.diff(self.block_ptr))
+        self.own_score *= factor[self.own_term]
+        self.bound = self.most * factor
 
     def top(self, at: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores that may be among the k best, given that k others reach `floor` already."""
