@@ -279,8 +279,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "do
             continue
         vocabulary = np.unique(np.concatenate([t for _, t in wanted]))
         frequency = frequencies(index, vocabulary)
-        # One shard's k best give each query a floor for all others.
-        first = search_shards(index.limit(1), wanted, k, documents, average, None, frequency, vocabulary)
+        # The k best of one file of shards give each query a floor for all others.
+        first = search_shards(index.sparkSession.read.schema(index.schema).parquet(*sorted(index.inputFiles())[:1]), wanted, k, documents, average, None, frequency, vocabulary)
         kth = {r["query_id"]: r["kth"] for r in first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
         floors = np.array([kth.get(q, 0.0) for q, _ in wanted])
         parts.append(search_shards(index, wanted, k, documents, average, floors, frequency, vocabulary))
