@@ -172,14 +172,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Prefix shingles of each class, rare ones first: token, salt, class, n, pos. docs: id, text."""
+    """Prefix shingles of each class, rare ones first: token, salt, parts its list is split in, class, n, pos. docs: id, text."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 4 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
         for batch in batches:
             for _, _, sets in _sets(batch):
-                tokens, salts, classes, sizes, places = [], [], [], [], []
+                tokens, salts, parts, classes, sizes, places = [], [], [], [], [], []
                 for s in sets:
                     if not len(s) or (key := class_key(s)[0]) in seen:
                         continue
@@ -190,15 +190,17 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     first = np.argsort(common, kind="stable")[:k]  # s is sorted, so ties are in order of the hash
                     expected = np.exp2(common[first] / 8.0)
                     tokens.append(s[first])
-                    salts.append((np.uint64(key & 0xFFFF) % np.ceil(expected / LONG_LIST).astype(np.uint64)).astype(np.int32))
+                    split = np.ceil(expected / LONG_LIST).astype(np.uint64)
+                    salts.append((np.uint64(key & 0xFFFF) % split).astype(np.int32))
+                    parts.append(split.astype(np.int32))
                     classes.append(np.full(k, key, np.int64))
                     sizes.append(np.full(k, len(s), np.int32))
                     places.append(np.arange(k, dtype=np.int32))
                 if tokens:
-                    columns = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (salts, classes, sizes, places))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "class", "n", "pos"])
+                    columns = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (salts, parts, classes, sizes, places))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "parts", "class", "n", "pos"])
 
-    return bounded_batches(docs).mapInArrow(run, "token long, salt int, class long, n int, pos int")
+    return bounded_batches(docs).mapInArrow(run, "token long, salt int, parts int, class long, n int, pos int")
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
@@ -206,9 +208,9 @@ def shared_postings(found: DataFrame) -> DataFrame:
     group = Window.partitionBy("token", "salt")
     order = group.orderBy(F.xxhash64("token", "class"), "class")
     before = F.lag(F.struct("class", "n", "pos")).over(order)
-    out = found.withColumns({"before": before, "low": F.min("class").over(group), "high": F.max("class").over(group), "split": F.max("salt").over(group)})
-    # Copies in several tasks give equal rows, next to each other here. Parts of a split list stay: they may have partners elsewhere.
-    out = out.where(F.col("before").isNull() | (F.col("before.class") != F.col("class"))).where((F.col("low") != F.col("high")) | (F.col("split") > 0))
+    out = found.withColumns({"before": before, "low": F.min("class").over(group), "high": F.max("class").over(group)})
+    # Copies in several tasks give equal rows, next to each other here. All parts of a split list stay: they may have partners elsewhere.
+    out = out.where(F.col("before").isNull() | (F.col("before.class") != F.col("class"))).where((F.col("low") != F.col("high")) | (F.col("parts") > 1))
     return out.select("token", "class", "n", "pos", F.col("before.class").alias("class_b"), F.col("before.n").alias("n_b"), F.col("before.pos").alias("pos_b"))
 
 

@@ -61,6 +61,17 @@ def test_split_lists_lose_nothing(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def test_every_part_of_a_split_list_stays(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 1)
+    rows = corpus()
+    assert result(spark, rows) == brute(rows)
+
+
+def test_classes_alone_in_their_part_stay(spark):
+    lists = spark.createDataFrame([(1, 0, 2, 10, 5, 0), (1, 1, 2, 11, 5, 0), (2, 0, 1, 10, 5, 1)], "token long, salt int, parts int, class long, n int, pos int")
+    assert sorted((r["token"], r["class"]) for r in ngram_join.shared_postings(lists).collect()) == [(1, 10), (1, 11)]
+
+
 def test_empty_table(spark):
     assert result(spark, []) == []
 
