@@ -8,8 +8,9 @@ Documents with equal shingle sets form one class first; the join is between clas
 2. Prefix shingles held by two classes or more are the postings that stay.
 3. First pass: each class is paired with its neighbour in a random order of each list, as many pairs as postings.
    Pairs that pass the filters are verified, and links give first components.
-4. Second pass: the lists are joined with themselves, but only between different components, as a further link within
-   one changes nothing. Filters run inside the join; what passes is made distinct, verified once, and linked.
+4. Second pass: the lists are joined with themselves, long ones part by part. Filters run inside the join; what passes
+   and was not verified before is made distinct and verified once. Where only components are asked for, it joins
+   different components only, as a further link within one changes nothing.
 
 The suffix filter bounds the symmetric difference from below: each shingle flips one bit of a 512-bit parity vector,
 so two sets differ in at least as many shingles as their vectors differ in bits.
@@ -211,7 +212,7 @@ def shared_postings(found: DataFrame) -> DataFrame:
     out = found.withColumns({"before": before, "low": F.min("class").over(group), "high": F.max("class").over(group)})
     # Copies in several tasks give equal rows, next to each other here. All parts of a split list stay: they may have partners elsewhere.
     out = out.where(F.col("before").isNull() | (F.col("before.class") != F.col("class"))).where((F.col("low") != F.col("high")) | (F.col("parts") > 1))
-    return out.select("token", "class", "n", "pos", F.col("before.class").alias("class_b"), F.col("before.n").alias("n_b"), F.col("before.pos").alias("pos_b"))
+    return out.select("token", "salt", "parts", "class", "n", "pos", F.col("before.class").alias("class_b"), F.col("before.n").alias("n_b"), F.col("before.pos").alias("pos_b"))
 
 
 def size_filters(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -279,10 +280,11 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row: id, n_shingles, component_id (the least id reachable by links) and its number of rows with equal sets.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", every_link: bool = True) -> DataFrame:
+    """For each row: id, n_shingles, component_id (the least id reachable by links), its number of rows with equal sets,
+    class_id (the least id of those) and links, the number of other rows it links with, those with equal sets among them.
 
-    Null texts and texts without words have no shingles and link with nothing, not even each other; they are their own
+    Without every_link only components are found, which takes fewer pairs, and class_id and links are left out. Null texts and texts without words have no shingles and link with nothing, not even each other; they are their own
     component. Rows with one id and different texts are judged each by its text. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
@@ -299,30 +301,42 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     near = near.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct()
     x, y = attributes.alias("x"), attributes.alias("y")
     near = near.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class")).where(suffix_filter("x", "y")).select("a", "b")
-    links = materialise(verify(materialise(near, "pairs"), rows, classes), "links")
-    roots = components(links)
-
-    # From here on only pairs of different first components matter.
-    known = attributes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    lists = materialise(shared.select("token", "class", "pos").join(known, "class"), "lists")
-    x, y = lists.alias("x"), lists.alias("y")
-    rule = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+    near = materialise(near, "pairs")
+    links = materialise(verify(near, rows, classes), "links")
+
+    known = attributes
+    if not every_link:
+        roots = components(links)
+        known = attributes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    lists = materialise(shared.select("token", "salt", "parts", "class", "pos").join(known, "class"), "lists")
+    # Each part of a list meets all parts, one at a time.
+    x, y = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x"), lists.alias("y")
+    rule = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.salt")) & (F.col("x.class") < F.col("y.class"))
+    if not every_link:
+        rule &= F.col("x.root") != F.col("y.root")
     rule &= size_filters(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & suffix_filter("x", "y")
     rest = x.join(y, rule).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    more = verify(materialise(rest, "pairs"), rows, classes)
-    final = components(links.unionByName(more))
+    more = verify(materialise(rest.join(near, ["a", "b"], "left_anti"), "pairs"), rows, classes)
+    links = materialise(links.unionByName(more), "links")
+    final = components(links)
 
     rooted = classes.select("class", "first", "copies").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("class", "component_id", "copies")
-    out = signed.select("id", "class", "n").join(named, "class", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    named = rooted.join(least, "root").select("class", "first", "component_id", "copies")
+    columns = ["id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies")]
+    if every_link:
+        ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("other")))
+        others = classes.select(F.col("class").alias("other"), F.col("copies").alias("rows"))
+        named = named.join(ends.join(others, "other").groupBy("class").agg(F.sum("rows").alias("linked")), "class", "left")
+        named = named.withColumn("links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+        columns += [F.coalesce("first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")]
+    return signed.select("id", "class", "n").join(named, "class", "left").select(*columns)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: that with the least id. Repeated rows count as one; rows with
     one id and different texts stay if the id is their group's least. Rows without an id stay."""
-    found = near_duplicates(docs, id_column, text_column)
+    found = near_duplicates(docs, id_column, text_column, every_link=False)
     keep = materialise(found.where("id = component_id").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__rows")), "kept")
     columns = docs.columns
     joined = docs.join(keep, F.col(id_column) == F.col("__id"))

@@ -34,7 +34,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "copies")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "copies", "class_id", "links")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

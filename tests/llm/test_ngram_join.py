@@ -72,6 +72,17 @@ def test_classes_alone_in_their_part_stay(spark):
     assert sorted((r["token"], r["class"]) for r in ngram_join.shared_postings(lists).collect()) == [(1, 10), (1, 11)]
 
 
+@pytest.mark.parametrize("long_list", [50_000, 1])
+def test_every_link_is_counted(spark, monkeypatch, long_list):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    rows = corpus()
+    sets = [shingles(t) for _, t in rows]
+    linked = [sum(i != j and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    first = [min(rows[j][0] for j, b in enumerate(sets) if j == i or (a and a == b)) for i, a in enumerate(sets)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["id"], r["class_id"], r["links"]) for r in out) == sorted((rows[i][0], first[i], linked[i]) for i in range(len(rows)))
+
+
 def test_empty_table(spark):
     assert result(spark, []) == []
 
