@@ -102,13 +102,14 @@ def sealed_bytes(n: Column) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(2 * F.greatest(F.floor(n / 3), F.lit(1)) + 9 * slots).cast("long")
 
 
-def elias_fano(values: DataFrame) -> DataFrame:
-    """Low part and high position of each value of an ascending sequence, by the usual width."""
-    bounds = values.agg(F.count("*").alias("n"), F.max("v").alias("m"))
+def elias_fano(values: DataFrame, *by: str) -> DataFrame:
+    """Low part and high position of each value of an ascending sequence, or of one for each value of by, by the usual width."""
+    bounds = values.groupBy(*by).agg(F.count("*").alias("n"), F.max("v").alias("m"))
     width = F.when(F.col("m") > F.col("n"), F.floor(F.log2(F.floor(F.col("m") / F.col("n")) + 0.0000001))).otherwise(0).cast("int")
-    # One row.
-    out = values.crossJoin(F.broadcast(bounds.select(width.alias("w"))))
-    return out.select("i", "v", F.expr("v & (shiftleft(1L, w) - 1)").alias("low"), F.expr("i + shiftright(v, w)").alias("high"))
+    bounds = bounds.select(*by, width.alias("w"))
+    # One row, or one for each sequence.
+    out = values.join(bounds, list(by)) if by else values.crossJoin(F.broadcast(bounds))
+    return out.select(*by, "i", "v", F.expr("v & (shiftleft(1L, w) - 1)").alias("low"), F.expr("i + shiftright(v, w)").alias("high"))
 
 
 def nearest_anchor(links: DataFrame, anchors: DataFrame, similarity) -> DataFrame:

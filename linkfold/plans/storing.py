@@ -103,6 +103,12 @@ def elias(spark: S, sf_dir: str) -> D:
     return store.elias_fano(numbered)
 
 
+def elias_shards(spark: S, sf_dir: str) -> D:
+    """The offsets of every shard's log, each as an Elias-Fano sequence of its own."""
+    i = F.row_number().over(Window.partitionBy("shard").orderBy("seq")) - 1
+    return store.elias_fano(log_offsets(spark, sf_dir).select("shard", i.cast("long").alias("i"), F.col("offset").alias("v")), "shard")
+
+
 def front_code(spark: S, sf_dir: str) -> D:
     """Shared length and suffix of each link against the one before it, in order, within blocks of 512."""
     links = order_links(spark, sf_dir).select("url").distinct().withColumn("scheme", F.split_part("url", F.lit(":"), F.lit(1)))
@@ -294,7 +300,7 @@ def hits(spark: S, sf_dir: str) -> D:
 
 
 def queries() -> dict:
-    return {f"q_{f.__name__}": f for f in (store_put_dedup, store_get, expand, shorten_alloc, shorten_blake3, route, log_offsets, store_stats, elias, front_code, nearest_anchor, cluster, store_records, seal_layout, zstd_dict, arc_replay, blob, manifest, manifest_merge, gset, dangling, container_roundtrip, report_scales, batch_stats, corpus_totals, lines, ingest_csv, format_sniff, http_route, hits)}
+    return {f"q_{f.__name__}": f for f in (store_put_dedup, store_get, expand, shorten_alloc, shorten_blake3, route, log_offsets, store_stats, elias, elias_shards, front_code, nearest_anchor, cluster, store_records, seal_layout, zstd_dict, arc_replay, blob, manifest, manifest_merge, gset, dangling, container_roundtrip, report_scales, batch_stats, corpus_totals, lines, ingest_csv, format_sniff, http_route, hits)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -309,6 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "q_log_offsets": duck.links(body=f", {offsets} SELECT * FROM o"),
         "q_store_stats": duck.links(body=f", k AS (SELECT {_SHARD} AS shard, count(*) AS keys, sum(strlen(url) + 34)::BIGINT AS disk_bytes FROM links GROUP BY ALL), s AS (SELECT *, keys * 72 AS mutable_bytes, (2 * greatest(keys // 3, 1) + 9 * (keys + greatest(keys // 4, 16)))::BIGINT AS sealed_bytes FROM k) SELECT *, sealed_bytes * 100 // keys AS centibytes_per_key FROM s"),
         "q_elias": duck.links(body=f", {offsets}, n AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS i, \"offset\" AS v FROM o WHERE shard = 0), w AS (SELECT CASE WHEN max(v) > count(*) THEN floor(log2(max(v) // count(*) + 0.0000001))::INTEGER ELSE 0 END AS w FROM n) SELECT i, v, v % (1::BIGINT << w) AS low, i + (v >> w) AS high FROM n, w"),
+        "q_elias_shards": duck.links(body=f", {offsets}, n AS (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY seq) - 1 AS i, \"offset\" AS v FROM o), w AS (SELECT shard, CASE WHEN max(v) > count(*) THEN floor(log2(max(v) // count(*) + 0.0000001))::INTEGER ELSE 0 END AS w FROM n GROUP BY shard) SELECT shard, i, v, v % (1::BIGINT << w) AS low, i + (v >> w) AS high FROM n JOIN w USING (shard)"),
         "q_front_code": FRONT,
         "q_nearest_anchor": ANCHOR,
         "q_store_records": "SELECT page_id AS seq, url, NULL::VARCHAR AS error FROM pages",

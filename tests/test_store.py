@@ -94,3 +94,17 @@ def test_native_codecs_agree_with_the_kernels(spark):
         assert (None if r["m"] is None else (r["m"]["id"], list(r["m"]["slots"]))) == kernels.template_match(r["u"])
         assert r["r"] == r["u"]
         assert r["a"] == kernels.ascii_link(r["u"] + "é")
+
+
+def test_elias_fano_of_every_shard(spark, sf_dir):
+    from linkfold.plans import storing
+
+    offsets = {}
+    for r in storing.log_offsets(spark, sf_dir).orderBy("shard", "seq").collect():
+        offsets.setdefault(r["shard"], []).append(r["offset"])
+    expected = []
+    for shard, values in offsets.items():
+        w = (max(values) // len(values)).bit_length() - 1 if max(values) > len(values) else 0
+        expected += [(shard, i, v, v & ((1 << w) - 1), i + (v >> w)) for i, v in enumerate(values)]
+    assert len(offsets) == 4
+    assert sorted(map(tuple, storing.elias_shards(spark, sf_dir).collect())) == sorted(expected)
