@@ -1,16 +1,21 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, verified once per pair.
+"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Documents with equal shingle sets form one class first; the join is between classes, so copies never meet as pairs.
 
 1. Each class keeps, of its shingles ordered from rare to frequent, only the prefix that any partner must share one
-   shingle with. Frequencies come from a fixed-size table of counters over all shingles; any fixed order gives whole
-   results, a better one shorter lists.
-2. Prefix shingles held by two classes or more are the postings that stay.
-3. First pass: each class is paired with its neighbour in a random order of each list, as many pairs as postings.
-   Pairs that pass the filters are verified, and links give first components.
-4. Second pass: the lists are joined with themselves, long ones part by part. Filters run inside the join; what passes
-   and was not verified before is made distinct and verified once. Where only components are asked for, it joins
-   different components only, as a further link within one changes nothing.
+   shingle with. Frequencies come from a table of counters over all shingles, its size following their number; any
+   fixed order gives whole results, a better one shorter lists.
+2. Postings travel as columns of bytes, a block for each map task and hash bucket. Those of shingles that only one
+   class holds end there. Lists that are known to be long are dealt out in parts and stay whole in what follows.
+3. First pass: each class is paired with its neighbours in its lists, by one of a few orders over all classes, so that
+   near copies meet the same few neighbours in every list. Pairs that pass the filters are verified; links give first
+   components.
+4. Second pass: lists that hold more than one first component are joined with themselves by part and by band of set
+   size, between different components only. What passes the filters is made distinct and verified once. Now the
+   components are final, as a further link within one changes nothing.
+5. Links are counted inside components: their sets meet once, in blocks of bounded size; prefix and length filters
+   choose the pairs, each is verified once, and only the counts leave the task, so that a group of near copies costs
+   as many rows as it has members and not as many as it has links.
 
 The suffix filter bounds the symmetric difference from below: each shingle flips one bit of a 512-bit parity vector,
 so two sets differ in at least as many shingles as their vectors differ in bits.
@@ -18,31 +23,40 @@ so two sets differ in at least as many shingles as their vectors differ in bits.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import bounded_batches, map_batches, materialise, mix64, shingle_sets, slices, text_buffer
+from linkfold.llm.common import Scratch, free_name, map_batches, materialise, mix64, release_memory, shingle_sets, slices, text_buffer
 
 WIDTH = 5
-#: Similarity as a fraction of whole numbers: a link has FOUR * union <= FIVE * intersection.
+#: Similarity as a fraction of whole numbers: a link has NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Counters of the frequency table, and bits of the membership filter: fixed sizes, whatever the input.
-COUNTERS_LOG2 = 22
-FILTER_LOG2 = 25
-#: Lists estimated longer than this are split by a salt.
+#: Shingles for one counter of the frequency table, and its least and largest size: 16 MB of levels at most.
+SHINGLES_A_COUNTER, COUNTERS_LOG2 = 32, (12, 24)
+#: Bits of the membership filter for one id, and its largest size, 16 MB: with more ids it lets more through, never less.
+BITS_AN_ID, FILTER_LOG2 = 12, 27
+#: Lists estimated longer than this are dealt out in parts.
 LONG_LIST = 50_000
+#: Orders over all classes that first neighbours come from.
+ORDERS = 4
+#: Classes of one block of a component.
+BLOCK = 512
 #: Classes that one task remembers, to emit a class once; beyond it a class may be emitted again, which is dropped later.
-SEEN = 500_000
+SEEN = 200_000
+#: Postings that a map task holds before it sends them.
+HELD = 1_000_000
 PARITY_BITS = 512
 _CHUNK_LOG2 = 12
 _WORDS = [f"s{i}" for i in range(PARITY_BITS // 64)]
 #: Stands for a null id where texts are read again.
 _NAMELESS = -(2**63)
 _SALT = np.uint64(0xA0761D6478BD642F)
+_POSTINGS = (("token", "<u8"), ("class", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("parts", "<u4"))
 
 
 def overlap_needed(n_a: Column, n_b: Column) -> Column:
@@ -51,107 +65,152 @@ def overlap_needed(n_a: Column, n_b: Column) -> Column:
     return F.floor((NUMERATOR * (n_a + n_b) + (total - 1)) / F.lit(total)).cast("long")
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+def prefix_length(n):
+    """Shingles of a set of n (a number or an array) of which any partner shares one."""
+    return n + -NUMERATOR * n // DENOMINATOR + 1
 
 
-def class_key(shingles: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
-    a = np.add.reduce(mix64(shingles), dtype=np.uint64)
-    b = np.add.reduce(mix64(shingles ^ _SALT), dtype=np.uint64)
-    n = np.uint64(len(shingles))
-    with np.errstate(over="ignore"):
-        return tuple(mix64(np.array([a + n, b ^ n], np.uint64)).view(np.int64).tolist())
+def class_keys(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set; of no meaning for empty sets."""
+    n = np.diff(ends).astype(np.uint64)
+    a, b = _sums(mix64(flat), ends), _sums(mix64(flat ^ _SALT), ends)
+    return mix64(a + n).view(np.int64), mix64(b ^ n).view(np.int64)
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    bits = np.bincount((mix64(shingles) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of stretches, empty ones too, modulo 2^64."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, dtype=np.uint64, out=total[1:])
+    return total[ends[1:]] - total[ends[:-1]]
 
 
-def _sets(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+def parities(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The parity words of each set, one row for each."""
+    sets = len(ends) - 1
+    owner = np.repeat(np.arange(sets, dtype=np.int64), np.diff(ends))
+    bits = np.bincount(owner * PARITY_BITS + (mix64(flat) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=sets * PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(sets, PARITY_BITS), axis=1).view("<i8")
+
+
+def _sets(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Stretches of rows, with their sets one after the other and the offsets between them."""
     raw, off = text_buffer(batch.column(column))
     for i, j in slices(off):
-        yield i, j, shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], WIDTH)
+        yield i, j, *shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], WIDTH)
+
+
+def _fresh(keys: np.ndarray, ends: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Numbers of the sets that aren't empty and weren't seen; remembers SEEN of them."""
+    out = []
+    for i, (k, n) in enumerate(zip(keys.tolist(), np.diff(ends).tolist(), strict=True)):
+        if n and k not in seen:
+            out.append(i)
+            if len(seen) < SEEN:
+                seen.add(k)
+    return np.array(out, np.int64)
+
+
+def _stretches(ends: np.ndarray, rows: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the given stretches' entries (the first `most` of each) one after the other, and their sizes."""
+    sizes = np.diff(ends)[rows] if most is None else most
+    return np.arange(int(sizes.sum())) + np.repeat(ends[rows] - np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64), sizes), sizes
+
+
+# Tables gathered from all partitions --------------------------------------------------------------------------------
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Compressed, bytes of one significance together: counts are mostly small."""
+    return pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), codec="zstd", asbytes=True)
 
 
-# Fixed-size tables gathered from all partitions -----------------------------------------------------------------
+def _unpack(data: bytes, dtype: str, length: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = pa.decompress(data, length * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, length).T).view(dtype).reshape(length)
 
 
 def _chunks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A table in chunks, those that are not all 0."""
+    """A table in compressed chunks, those that are not all 0."""
     parts = table.reshape(-1, min(len(table), 1 << _CHUNK_LOG2))
     used = np.flatnonzero(parts.any(axis=1))
     for a in range(0, len(used), 64):
         some = used[a : a + 64]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["chunk", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pack(parts[i]) for i in some], pa.binary())], names=["chunk", "data"])
 
 
-def _gather(chunks: DataFrame, size_log2: int, dtype: str, merge: Callable, levels: int = 2) -> np.ndarray:
-    """Merges chunks by number, in two steps so that no task reads a chunk from all partitions, into one table on the driver."""
+def _gather(chunks: DataFrame, size_log2: int, dtype: str, merge: Callable, last: Callable, levels: int = 2) -> np.ndarray:
+    """Merges chunks by number, in two steps so that no task reads a chunk from all partitions, into one table of bytes
+    on the driver; `last` makes them of the merged values."""
+    width = min(1 << size_log2, 1 << _CHUNK_LOG2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(data, dtype)
-                found[k] = merge(found[k], new) if k in found else new
-        for k, data in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "data"])
+    def step(end: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    new = _unpack(data, dtype, width)
+                    found[k] = merge(found[k], new) if k in found else new
+            for k, data in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(last(data) if end else data)], pa.binary())], names=["chunk", "data"])
+            release_memory()
+
+        return run
 
     for level in range(levels):
         spread = [F.pmod(F.spark_partition_id(), F.lit(16))] if level + 1 < levels else []
-        chunks = chunks.repartition("chunk", *spread).mapInArrow(run, "chunk int, data binary")
-    out = np.zeros(1 << size_log2, dtype)
-    width = min(len(out), 1 << _CHUNK_LOG2)
+        chunks = chunks.repartition("chunk", *spread).mapInArrow(step(level + 1 == levels), "chunk int, data binary")
+    out = np.zeros(1 << size_log2, np.uint8)
     for r in chunks.toLocalIterator():
-        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["data"], dtype)
+        out[r["chunk"] * width : (r["chunk"] + 1) * width] = _unpack(r["data"], "u1", width)
     return out
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """Estimated frequency by hash slot, as 8 * log2: one byte for each of the counters. docs: id, text."""
+def frequency_levels(docs: DataFrame, shingles: int) -> np.ndarray:
+    """Estimated frequency by hash slot, as 8 * log2, over all classes (about `shingles` in all): a byte for each counter.
+    docs: id, text."""
+    low, high = COUNTERS_LOG2
+    log2 = min(high, max(low, math.ceil(math.log2(max(1, shingles / SHINGLES_A_COUNTER)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.zeros(1 << COUNTERS_LOG2, np.uint32), set()
+        table, seen = np.zeros(1 << log2, np.uint32), set()
         for batch in batches:
-            for _, _, sets in _sets(batch):
-                fresh = []
-                for s in sets:
-                    if len(s) and (key := class_key(s)[0]) not in seen:
-                        fresh.append(s)
-                        if len(seen) < SEEN:
-                            seen.add(key)
-                if fresh:
-                    np.add.at(table, (np.concatenate(fresh) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), np.uint32(1))
+            for _, _, flat, ends in _sets(batch):
+                rows = _fresh(class_keys(flat, ends)[0], ends, seen)
+                at, _ = _stretches(ends, rows)
+                np.add.at(table, (flat[at] >> np.uint64(64 - log2)).astype(np.int64), np.uint32(1))
         yield from _chunks(table)
+        release_memory()
 
-    chunks = bounded_batches(docs.select(F.lit(0).alias("id"), "text")).mapInArrow(run, "chunk int, data binary")
-    counts = _gather(chunks, COUNTERS_LOG2, "<u4", lambda a, b: a + b)
-    return np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8)
+    chunks = docs.select(F.lit(0).alias("id"), "text").mapInArrow(run, "chunk int, data binary")
+    add = lambda a, b: np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype("<u4")
+    return _gather(chunks, log2, "<u4", add, lambda x: np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8))
 
 
-def membership(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids in the first column, of fixed size: with more ids it lets more through, never less."""
+def membership(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of the ids in the first column, about `count` of them."""
+    log2 = min(FILTER_LOG2, max(10, math.ceil(math.log2(max(1, count) * BITS_AN_ID))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_LOG2, bool)
+        bits = np.zeros(1 << (log2 - 3), np.uint8)
         for batch in batches:
-            for at in _probes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
-                bits[at] = True
-        yield from _chunks(np.packbits(bits))
+            for at in _probes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), log2):
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield from _chunks(bits)
+        release_memory()
 
-    return _gather(ids.mapInArrow(run, "chunk int, data binary"), FILTER_LOG2 - 3, "u1", np.bitwise_or)
+    return _gather(ids.mapInArrow(run, "chunk int, data binary"), log2 - 3, "u1", np.bitwise_or, lambda x: x)
 
 
-def _probes(ids: np.ndarray) -> list[np.ndarray]:
+def _probes(ids: np.ndarray, log2: int) -> list[np.ndarray]:
     h = mix64(ids.view(np.uint64))
-    return [(mix64(h + np.uint64(k)) >> np.uint64(64 - FILTER_LOG2)).astype(np.int64) for k in range(4)]
+    return [(mix64(h + np.uint64(k)) >> np.uint64(64 - log2)).astype(np.int64) for k in range(4)]
 
 
 def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.ones(len(ids), bool)
-    for at in _probes(ids):
+    log2 = (8 * len(bits)).bit_length() - 1
+    for at in _probes(ids, log2):
         out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
 
@@ -163,62 +222,107 @@ def signatures(docs: DataFrame) -> DataFrame:
     """For each row: id, class (null without words), its check hash, n, and the parity words."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j, sets in _sets(batch):
-            keys = [class_key(s) if len(s) else (None, None) for s in sets]
-            words = np.frombuffer(b"".join(parity(s) if len(s) else bytes(PARITY_BITS // 8) for s in sets), "<i8").reshape(len(sets), -1)
-            columns = [batch.column(0)[i:j], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+        for i, j, flat, ends in _sets(batch):
+            n = np.diff(ends)
+            key, check = class_keys(flat, ends)
+            words = parities(flat, ends)
+            columns = [batch.column(0)[i:j], pa.array(key, mask=n == 0), pa.array(check, mask=n == 0), pa.array(n)]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(words.shape[1]))], names=["id", "class", "check", "n", *_WORDS])
 
     return map_batches(docs, run, "id long, class long, check long, n long, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
-def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Prefix shingles of each class, rare ones first: token, salt, parts its list is split in, class, n, pos. docs: id, text."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 4 MB, whatever the corpus
+def postings(docs: DataFrame, levels: np.ndarray, shingles: int, buckets: int) -> DataFrame:
+    """Prefix shingles of each class, rare ones first, as blocks of bytes by bucket. docs: id, text.
+
+    A token is a shingle's level and its first 56 bits: equal tokens of different shingles only add candidates. The
+    number of parts of a list follows from its token alone, the part of a class from its key.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 16 MB at most
+    log2 = len(levels).bit_length() - 1
+    noise, long_list, held = 1.5 * shingles / len(levels), LONG_LIST, HELD
+
+    def send(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        token, key, parts = columns[0], columns[1], columns[4]
+        part = (key & 0xFFFF).astype(np.uint32) % parts
+        bucket = (mix64(token ^ (part.astype(np.uint64) * _SALT)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        blocks = [pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in (x[order] for x in columns)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut[:-1]]), *blocks], names=["bucket", *(name for name, _ in _POSTINGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = shared.value, set()
+        level, seen, found, have = shared.value, set(), [], 0
         for batch in batches:
-            for _, _, sets in _sets(batch):
-                tokens, salts, parts, classes, sizes, places = [], [], [], [], [], []
-                for s in sets:
-                    if not len(s) or (key := class_key(s)[0]) in seen:
-                        continue
-                    if len(seen) < SEEN:
-                        seen.add(key)
-                    common = level[(s >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
-                    k = prefix_length(len(s))
-                    first = np.argsort(common, kind="stable")[:k]  # s is sorted, so ties are in order of the hash
-                    expected = np.exp2(common[first] / 8.0)
-                    tokens.append(s[first])
-                    split = np.ceil(expected / LONG_LIST).astype(np.uint64)
-                    salts.append((np.uint64(key & 0xFFFF) % split).astype(np.int32))
-                    parts.append(split.astype(np.int32))
-                    classes.append(np.full(k, key, np.int64))
-                    sizes.append(np.full(k, len(s), np.int32))
-                    places.append(np.arange(k, dtype=np.int32))
-                if tokens:
-                    columns = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (salts, parts, classes, sizes, places))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "parts", "class", "n", "pos"])
-
-    return bounded_batches(docs).mapInArrow(run, "token long, salt int, parts int, class long, n int, pos int")
-
-
-def shared_postings(found: DataFrame) -> DataFrame:
-    """Postings whose list has two classes or more, with the neighbour in a random order of the list."""
-    group = Window.partitionBy("token", "salt")
-    order = group.orderBy(F.xxhash64("token", "class"), "class")
-    before = F.lag(F.struct("class", "n", "pos")).over(order)
-    out = found.withColumns({"before": before, "low": F.min("class").over(group), "high": F.max("class").over(group)})
-    # Copies in several tasks give equal rows, next to each other here. All parts of a split list stay: they may have partners elsewhere.
-    out = out.where(F.col("before").isNull() | (F.col("before.class") != F.col("class"))).where((F.col("low") != F.col("high")) | (F.col("parts") > 1))
-    return out.select("token", "salt", "parts", "class", "n", "pos", F.col("before.class").alias("class_b"), F.col("before.n").alias("n_b"), F.col("before.pos").alias("pos_b"))
+            for _, _, flat, ends in _sets(batch):
+                keys = class_keys(flat, ends)[0]
+                rows = _fresh(keys, ends, seen)
+                if not len(rows):
+                    continue
+                token = level[(flat >> np.uint64(64 - log2)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | flat >> np.uint64(8)
+                for a, b in zip(ends[rows].tolist(), ends[rows + 1].tolist(), strict=True):
+                    token[a:b].sort()
+                sizes = np.diff(ends)[rows]
+                at, taken = _stretches(ends, rows, prefix_length(sizes))
+                token = token[at]
+                expected = np.exp2((token >> np.uint64(56)).astype(np.float64) / 8) - noise
+                parts = np.maximum(1, np.ceil(expected / long_list)).astype(np.uint32)
+                found.append((token, np.repeat(keys[rows], taken), np.repeat(sizes, taken).astype(np.uint32), (at - np.repeat(ends[rows], taken)).astype(np.uint32), parts))
+                have += len(token)
+                if have >= held:
+                    yield from send(found)
+                    found, have = [], 0
+        if have:
+            yield from send(found)
+        release_memory()
+
+    return docs.mapInArrow(run, "bucket int, token binary, class binary, n binary, pos binary, parts binary")
+
+
+def shared_postings(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Postings whose list has two classes or more, or is in parts, each with its neighbour in one of ORDERS orders of classes.
+
+    A task holds the postings of its buckets, whose number follows that of the shuffle's partitions; a list beyond
+    LONG_LIST is in parts, in buckets of their own.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = [[] for _ in _POSTINGS]
+        for batch in batches:
+            for at, (column, (_, dtype)) in enumerate(zip(batch.columns[1:], _POSTINGS, strict=True)):
+                found[at] += [np.frombuffer(x.as_buffer(), dtype).copy() for x in column]
+        if not found[0]:
+            return
+        token, key, n, pos, parts = (np.concatenate(c) for c in found)
+        found.clear()
+        some = token & np.uint64(ORDERS - 1)
+        place = mix64(key.view(np.uint64) + some * _SALT)  # as good as distinct for distinct classes of a list
+        order = np.lexsort((key, place, token))
+        token, key = token[order], key[order]
+        # Copies in several tasks give equal rows, next to each other here.
+        keep = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
+        order, token, key = order[keep], token[keep], key[keep]
+        first = np.r_[True, token[1:] != token[:-1]]
+        counts = np.diff(np.flatnonzero(np.r_[first, True]))
+        keep = (np.repeat(counts, counts) > 1) | (parts[order] > 1)
+        order, token, key, first = order[keep], token[keep], key[keep], first[keep]
+        n, pos, parts = (x[order].astype(np.int32) for x in (n, pos, parts))
+        for a in range(0, len(token), 50_000):
+            b = min(a + 50_000, len(token))
+            before, none = np.arange(a - 1, b - 1), first[a:b]
+            columns = [token[a:b].view(np.int64), parts[a:b], key[a:b], n[a:b], pos[a:b]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *(pa.array(c[before], mask=none) for c in (key, n, pos))], names=["token", "parts", "class", "n", "pos", "class_b", "n_b", "pos_b"])
+        release_memory()
+
+    return blocks.repartition(buckets, "bucket").mapInArrow(run, "token long, parts int, class long, n int, pos int, class_b long, n_b int, pos_b int")
 
 
 def size_filters(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
     """Length filter, and positional filter: after this first common shingle, enough of both must be left."""
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    return (DENOMINATOR * small >= NUMERATOR * large) & (1 + F.least(n_a - pos_a, n_b - pos_b) - 1 >= overlap_needed(n_a, n_b))
+    return (DENOMINATOR * small >= NUMERATOR * large) & (F.least(n_a - pos_a, n_b - pos_b) >= overlap_needed(n_a, n_b))
 
 
 def suffix_filter(a: str, b: str) -> Column:
@@ -227,22 +331,44 @@ def suffix_filter(a: str, b: str) -> Column:
     return differ <= n_a + n_b - 2 * overlap_needed(n_a, n_b)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of classes that link. The texts of the classes' first documents are read again."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.coalesce("first", F.lit(_NAMELESS)).alias("first")), "class").select("first", "class"), "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(membership(wanted.select("first")))  # 4 MB, whatever the corpus
+def band(n: Column) -> Column:
+    """Sizes in bands, each 1.26 times the one before: partners, at most 1.25 times as large, are in one band or in two neighbours."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.26))).cast("int")
+
+
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) that pass the suffix filter."""
+    attributes = classes.select("class", "n", *_WORDS)
+    x, y = attributes.alias("x"), attributes.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class")).where(suffix_filter("x", "y")).select("a", "b")
+
+
+def sets_of(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """class and shingles of the classes in pairs, but for those that `known` has. The texts of their first documents are read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("class"), "class", "left_anti")
+    wanted = scratch.keep(wanted.join(classes.select("class", F.coalesce("first", F.lit(_NAMELESS)).alias("first")), "class").select("first", "class"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(membership(wanted.select("first"), wanted.count()))  # 16 MB at most
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).fill_null(_NAMELESS).to_numpy(zero_copy_only=False).astype(np.int64)
         batch = batch.filter(pa.array(_passes(bits.value, ids)))
-        for i, j, sets in _sets(batch):
-            columns = [batch.column(0)[i:j].fill_null(_NAMELESS), pa.array([class_key(s)[0] if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["first", "class", "shingles"])
+        for i, j, flat, ends in _sets(batch):
+            keys = pa.array(class_keys(flat, ends)[0], mask=np.diff(ends) == 0)
+            sets = [flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].fill_null(_NAMELESS), keys, pa.array(sets, pa.binary())], names=["first", "class", "shingles"])
 
     # A repeated id may come with other texts: first and class together tell the right row, and one of those is enough.
     sets = map_batches(docs, run, "first long, class long, shingles binary").join(wanted, ["first", "class"], "left_semi")
-    sets = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "sets")
+    out = scratch.keep(sets.dropDuplicates(["class"]).select("class", "shingles"), "sets")
+    bits.destroy()
+    scratch.drop(wanted)
+    return out
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of classes that link."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
 
@@ -257,9 +383,10 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), compare, "a long, b long")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """Connected components by alternating large and small stars: node and root (the least node) for each linked node."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+    """Connected components by alternating large and small stars: node and root (the least node) for each linked node.
+    The rounds grow with the logarithm of the longest path; if `most` do not settle them, it is an error."""
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     state = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -269,7 +396,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before, edges = edges, scratch.keep(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        scratch.drop(before)
         r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (r["n"], r["h"]) == state:
             break
@@ -280,67 +408,161 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def unit_links(sizes: np.ndarray, flat: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the sets `left` link with which of `right`, as a matrix; sets lie one after the other in flat.
+
+    Prefixes are by frequency within the unit, rare shingles first; pairs that share a prefix shingle and pass the
+    length filter are verified by their whole intersection. A set does not link with itself.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, token, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, counts[token], owner))
+    start = np.r_[0, np.cumsum(sizes)]
+    prefix = order[_stretches(start, np.arange(len(sizes)), prefix_length(sizes))[0]]
+    prefix = prefix[counts[token[prefix]] > 1]
+    prefix = prefix[np.argsort(token[prefix], kind="stable")]
+    in_left, in_right = np.full(len(sizes), -1), np.full(len(sizes), -1)
+    in_left[left], in_right[right] = np.arange(len(left)), np.arange(len(right))
+    pairs = np.zeros((len(left), len(right)), bool)
+    cut = np.flatnonzero(np.r_[True, np.diff(token[prefix]) != 0, True]) if len(prefix) else np.zeros(1, int)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a > 1:
+            some = owner[prefix[a:b]]
+            x, y = in_left[some], in_right[some]
+            pairs[np.ix_(x[x >= 0], y[y >= 0])] = True
+    n_a, n_b = sizes[left][:, None], sizes[right][None, :]
+    pairs &= (DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b)) & (left[:, None] != right[None, :])
+    # Whole intersections, some shingles at a time; counts are whole numbers that float32 holds.
+    both = np.zeros(pairs.shape, np.float32)
+    common = np.flatnonzero(counts > 1)
+    number = np.full(len(counts), -1)
+    number[common] = np.arange(len(common))
+    of = number[token]
+    for a in range(0, len(common), 4096):
+        here = np.flatnonzero((of >= a) & (of < a + 4096))
+        held = np.zeros((len(sizes), min(4096, len(common) - a)), np.float32)
+        held[owner[here], of[here] - a] = 1
+        both += held[left] @ held[right].T
+    return pairs & (DENOMINATOR * both >= NUMERATOR * (n_a + n_b - both))
+
+
+def count_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """class and linked, the number of rows of other classes it links with. members: class, root, copies.
+
+    A component of many classes is dealt out in blocks by hash; each pair of blocks is a unit, handled in one task."""
+    several = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    several = several.select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(several, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).join(sets, "class")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["root", "low", "high"]
+    dealt = dealt.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "copies", "shingles")
+
+    def unit(low: int, high: int, rows: list[tuple]) -> pa.RecordBatch:
+        block, key, copies = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        links = unit_links(np.array([len(s) for s in sets]), np.concatenate(sets), left, right)
+        linked = np.zeros(len(rows), np.int64)
+        linked[left] += links @ copies[right]
+        if low != high:
+            linked[right] += copies[left] @ links
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(linked)], names=["class", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            head = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+            for (root, low, high, block, key, copies), data in zip(head, batch.column(6), strict=True):
+                if (root, low, high) != now:
+                    if rows:
+                        yield unit(now[1], now[2], rows)
+                    now, rows = (root, low, high), []
+                rows.append((block, key, copies, data.as_py()))
+        if rows:
+            yield unit(now[1], now[2], rows)
+        release_memory()
+
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "class long, linked long")
+    return found.groupBy("class").agg(F.sum("linked").alias("linked"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", every_link: bool = True) -> DataFrame:
     """For each row: id, n_shingles, component_id (the least id reachable by links), its number of rows with equal sets,
     class_id (the least id of those) and links, the number of other rows it links with, those with equal sets among them.
 
-    Without every_link only components are found, which takes fewer pairs, and class_id and links are left out. Null texts and texts without words have no shingles and link with nothing, not even each other; they are their own
-    component. Rows with one id and different texts are judged each by its text. An empty table gives no rows.
+    Without every_link only components are found, and class_id and links are left out. Null texts and texts without
+    words have no shingles and link with nothing, not even each other; they are their own component. Rows with one id
+    and different texts are judged each by its text; a null id gives no component its name unless all its ids are
+    null. Texts of any length are taken whole. Columns other than the two are not looked at, whatever their names. An
+    empty table gives no rows.
     """
-    spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = materialise(signatures(rows), "signatures")
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), every_link, scratch)
+
+
+def _near_duplicates(rows: DataFrame, every_link: bool, scratch: Scratch) -> DataFrame:
+    spark: SparkSession = rows.sparkSession
+    signed = scratch.keep(signatures(rows), "signatures")
     grouped = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("check").alias("check"), F.max("check").alias("check_b"), F.min("n").alias("n"), *(F.min(w).alias(w) for w in _WORDS))
-    classes = materialise(grouped, "classes")
-    if classes.where("check != check_b").limit(1).count():
-        raise RuntimeError("two shingle sets share a 64-bit hash: change the salt of class_key")
-    shared = materialise(shared_postings(postings(rows, frequency_levels(rows))), "postings")
+    classes = scratch.keep(grouped, "classes")
+    totals = classes.agg(F.sum("n").alias("shingles"), F.coalesce(F.max(F.col("check") != F.col("check_b")), F.lit(False)).alias("clash")).first()
+    if totals["clash"]:
+        raise RuntimeError("two shingle sets share a 64-bit hash: change the salt of class_keys")
+    shingles = totals["shingles"] or 0
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    levels = frequency_levels(rows, shingles)
+    shared = scratch.keep(shared_postings(postings(rows, levels, shingles, 2 * buckets), buckets), "postings")
 
-    attributes = classes.select("class", F.col("n").alias("n"), *_WORDS)
     near = shared.where(F.col("class_b").isNotNull() & size_filters(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
     near = near.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct()
-    x, y = attributes.alias("x"), attributes.alias("y")
-    near = near.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class")).where(suffix_filter("x", "y")).select("a", "b")
-    near = materialise(near, "pairs")
-    links = materialise(verify(near, rows, classes), "links")
-
-    known = attributes
-    if not every_link:
-        roots = components(links)
-        known = attributes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    lists = materialise(shared.select("token", "salt", "parts", "class", "pos").join(known, "class"), "lists")
-    # Each part of a list meets all parts, one at a time.
-    x, y = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x"), lists.alias("y")
-    rule = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.salt")) & (F.col("x.class") < F.col("y.class"))
-    if not every_link:
-        rule &= F.col("x.root") != F.col("y.root")
-    rule &= size_filters(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & suffix_filter("x", "y")
-    rest = x.join(y, rule).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    more = verify(materialise(rest.join(near, ["a", "b"], "left_anti"), "pairs"), rows, classes)
-    links = materialise(links.unionByName(more), "links")
-    final = components(links)
-
-    rooted = classes.select("class", "first", "copies").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("class", "first", "component_id", "copies")
+    near = scratch.keep(plausible(near, classes), "pairs")
+    sets = sets_of(near, None, rows, classes, scratch)
+    links = scratch.keep(verify(near, sets), "links")
+
+    roots = scratch.keep(components(links, scratch), "roots")
+    rooted = shared.select("token", "parts", "class", "n", "pos").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = scratch.keep(rooted, "rooted")
+    scratch.drop(shared)
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+    lists = rooted.join(mixed, "token").withColumns({"part": F.pmod(F.col("class").bitwiseAND(0xFFFF), F.col("parts")).cast("int"), "band": band(F.col("n"))})
+    # Each part of a list meets all parts, and each band of sizes itself and the next: x is the smaller set of a pair.
+    x = lists.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
+    y = lists.alias("y")
+    rule = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.band") == F.col("y.band"))
+    rule &= (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class")))
+    rule &= (F.col("x.root") != F.col("y.root")) & size_filters(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    rest = x.join(y, rule).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    rest = scratch.keep(plausible(rest.join(near, ["a", "b"], "left_anti"), classes), "pairs")
+    scratch.drop(rooted, near)
+    final = roots
+    if not rest.isEmpty():
+        others = sets_of(rest, sets, rows, classes, scratch)
+        sets = sets.unionByName(others)
+        more = scratch.keep(verify(rest, sets), "links")
+        if not more.isEmpty():
+            final = scratch.keep(components(links.unionByName(more), scratch), "roots")
+
+    named = classes.select("class", "first", "copies").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "root").select("class", "first", "component_id", "copies", "root")
     columns = ["id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies")]
     if every_link:
-        ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("other")))
-        others = classes.select(F.col("class").alias("other"), F.col("copies").alias("rows"))
-        named = named.join(ends.join(others, "other").groupBy("class").agg(F.sum("rows").alias("linked")), "class", "left")
-        named = named.withColumn("links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+        linked = scratch.keep(count_links(final.withColumnRenamed("node", "class").join(classes.select("class", "copies"), "class"), sets), "linked")
+        named = named.join(linked, "class", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
         columns += [F.coalesce("first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")]
-    return signed.select("id", "class", "n").join(named, "class", "left").select(*columns)
+    return materialise(signed.select("id", "class", "n").join(named, "class", "left").select(*columns), "near-duplicates")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: that with the least id. Repeated rows count as one; rows with
-    one id and different texts stay if the id is their group's least. Rows without an id stay."""
+    one id and different texts stay if the id is their group's least. Rows without an id stay, as do null and empty
+    texts. All columns are kept, whatever their names."""
     found = near_duplicates(docs, id_column, text_column, every_link=False)
-    keep = materialise(found.where("id = component_id").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__rows")), "kept")
+    name, count = free_name("id", docs.columns), free_name("rows", docs.columns, ["id"])
+    keep = materialise(found.where("id = component_id").groupBy(F.col("id").alias(name)).agg(F.count("*").alias(count)), "kept")
     columns = docs.columns
-    joined = docs.join(keep, F.col(id_column) == F.col("__id"))
-    out = joined.where(F.col("__rows") == 1).select(*columns)
-    if keep.where("__rows > 1").limit(1).count():
-        out = out.unionByName(joined.where(F.col("__rows") > 1).select(*columns).dropDuplicates([id_column, text_column]))
+    joined = docs.join(keep, docs[id_column].cast("long") == keep[name])
+    out = joined.where(F.col(count) == 1).select(*columns)
+    if keep.where(F.col(count) > 1).limit(1).count():
+        out = out.unionByName(joined.where(F.col(count) > 1).select(*columns).dropDuplicates([id_column, text_column]))
     return out.unionByName(docs.where(F.col(id_column).isNull()))

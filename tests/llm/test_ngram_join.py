@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from linkfold.llm import ngram_join
+from linkfold.llm.common import Scratch
 from linkfold.llm.ngram_join import components, keep_one, near_duplicates
 
 
@@ -61,20 +62,25 @@ def test_split_lists_lose_nothing(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
-def test_every_part_of_a_split_list_stays(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LONG_LIST", 1)
+@pytest.mark.parametrize("long_list", [1, 2, 3])
+def test_every_part_of_a_split_list_stays(spark, monkeypatch, long_list):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(ngram_join, "HELD", 50)
     rows = corpus()
     assert result(spark, rows) == brute(rows)
 
 
 def test_classes_alone_in_their_part_stay(spark):
-    lists = spark.createDataFrame([(1, 0, 2, 10, 5, 0), (1, 1, 2, 11, 5, 0), (2, 0, 1, 10, 5, 1)], "token long, salt int, parts int, class long, n int, pos int")
-    assert sorted((r["token"], r["class"]) for r in ngram_join.shared_postings(lists).collect()) == [(1, 10), (1, 11)]
+    blocks = [(0, [(1, 10, 5, 0, 2), (2, 10, 5, 1, 1)]), (1, [(1, 11, 5, 0, 2)])]
+    packed = [(b, *(np.array(c, kind).tobytes() for c, (_, kind) in zip(zip(*rows, strict=True), ngram_join._POSTINGS, strict=True))) for b, rows in blocks]
+    frame = spark.createDataFrame([(r[0], *map(bytearray, r[1:])) for r in packed], "bucket int, token binary, class binary, n binary, pos binary, parts binary")
+    assert sorted((r["token"], r["class"]) for r in ngram_join.shared_postings(frame, 2).collect()) == [(1, 10), (1, 11)]
 
 
-@pytest.mark.parametrize("long_list", [50_000, 1])
-def test_every_link_is_counted(spark, monkeypatch, long_list):
+@pytest.mark.parametrize(("long_list", "block"), [(50_000, 512), (1, 7), (3, 1)])
+def test_every_link_is_counted(spark, monkeypatch, long_list, block):
     monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = corpus()
     sets = [shingles(t) for _, t in rows]
     linked = [sum(i != j and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
@@ -88,15 +94,46 @@ def test_empty_table(spark):
 
 
 def test_keep_one_keeps_columns_and_clean_documents(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, "other words here", "z"), (4, None, "n")], "doc_id long, text string, class string")
+    rows = [(1, "a b c d e f", "x", 5), (2, "A b c d e f", "y", 6), (3, "other words here", "z", 7), (4, None, "n", 8), (1, "a b c d e f", "x", 5), (None, "a b c d e f", "m", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, rows int")
     out = keep_one(docs)
     assert out.columns == docs.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
+    assert sorted(map(tuple, out.where("doc_id is not null").collect())) == [rows[0], rows[2], rows[3]]
+    assert out.where("doc_id is null").count() == 1
+
+
+def test_a_common_passage_null_ids_and_a_long_text(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, f"{passage} {' '.join(word() for _ in range(r.randint(1, 12)))}") for i in range(150)]
+    long = [word() for _ in range(180_000)]
+    rows += [(500, " ".join(long)), (501, " ".join([*long[:-9], *("x" for _ in range(9))])), (502, "x" * 1_000_000)]
+    assert result(spark, rows) == brute(rows)
+    named = [(i, t, "a", "b") for i, t in [*rows[:40], (None, rows[0][1]), (None, "alone here"), (None, None)]]
+    out = near_duplicates(spark.createDataFrame(named, "doc_id long, text string, class string, id string")).collect()
+    assert len(out) == len(named) and {r["component_id"] for r in out if r["id"] is None} == {None, brute(rows[:40])[0][2]}
+
+
+def test_chains_of_near_copies(spark):
+    # Each text links with its neighbours only, so that components come from many small steps.
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 100])) for i in range(60)]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    near_duplicates(spark.createDataFrame(corpus(), "doc_id long, text string")).count()
+    assert [x.split("-")[1] for x in set(os.listdir(root)) - before] == ["near"]
 
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100)], "a long, b long")
-    got = {r["node"]: r["root"] for r in components(links).collect()}
+    got = {r["node"]: r["root"] for r in components(links, Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
 
 
@@ -104,7 +141,7 @@ def test_parity_never_exceeds_the_difference():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 2**63, 300, dtype=np.uint64))
     b = np.unique(np.r_[a[:250], r.integers(0, 2**63, 40, dtype=np.uint64)])
-    bits = np.bitwise_count(np.frombuffer(ngram_join.parity(a), np.uint64) ^ np.frombuffer(ngram_join.parity(b), np.uint64)).sum()
+    bits = np.bitwise_count(np.bitwise_xor(*ngram_join.parities(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))).view(np.uint64)).sum()
     assert bits <= len(np.setxor1d(a, b))
 
 
