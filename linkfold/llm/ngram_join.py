@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
+"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, verified once per pair.
 
 Documents with equal shingle sets form one class first; the join is between classes, so copies never meet as pairs.
 
@@ -6,19 +6,19 @@ Documents with equal shingle sets form one class first; the join is between clas
    shingle with. Frequencies come from a table of counters over all shingles, its size following their number; any
    fixed order gives whole results, a better one shorter lists.
 2. Postings travel as columns of bytes, a block for each map task and hash bucket. Those of shingles that only one
-   class holds end there. Lists that are known to be long are dealt out in parts and stay whole in what follows.
-3. First pass: each class is paired with its neighbours in its lists, by one of a few orders over all classes, so that
-   near copies meet the same few neighbours in every list. Pairs that pass the filters are verified; links give first
-   components.
-4. Second pass: lists that hold more than one first component are joined with themselves by part and by band of set
-   size, between different components only. What passes the filters is made distinct and verified once. Now the
-   components are final, as a further link within one changes nothing.
-5. Links are counted inside components: their sets meet once, in blocks of bounded size; prefix and length filters
-   choose the pairs, each is verified once, and only the counts leave the task, so that a group of near copies costs
-   as many rows as it has members and not as many as it has links.
-
-The suffix filter bounds the symmetric difference from below: each shingle flips one bit of a 512-bit parity vector,
-so two sets differ in at least as many shingles as their vectors differ in bits.
+   class holds end there. Lists that are known to be long are dealt out in parts, and all their parts meet.
+3. Within each list, pairs that pass the length, positional and suffix filters are candidates. A task hands on no
+   pairs but a spanning forest of its candidates: as many rows as classes, however many pairs. Connected candidates are a
+   cluster; all links lie inside clusters.
+4. A cluster's whole sets meet in units of bounded size, a pair of blocks of classes each. The pairs that share a prefix
+   shingle there and pass the length filter are verified, once, as a pair of classes lies in one unit only. A unit hands on
+   each class's number of links and a spanning forest of them, which gives the components.
+
+So a group of near copies costs rows as it has members, not as it has links, and no step writes pairs down.
+
+The suffix filter bounds the symmetric difference from below: each shingle flips one bit of a parity vector, so two
+sets differ in at least as many shingles as their vectors differ in bits. A vector has about as many bits as the set has
+shingles, up to PARITY_BITS; a longer one is folded onto a shorter one.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkfold.llm.common import Scratch, free_name, map_batches, materialise, mix64, release_memory, shingle_sets, slices, text_buffer
@@ -42,27 +42,27 @@ SHINGLES_A_COUNTER, COUNTERS_LOG2 = 32, (12, 24)
 BITS_AN_ID, FILTER_LOG2 = 12, 27
 #: Lists estimated longer than this are dealt out in parts.
 LONG_LIST = 50_000
-#: Orders over all classes that first neighbours come from.
-ORDERS = 4
-#: Classes of one block of a component.
+#: Lists up to this length have all their pairs looked at together; longer ones are searched from class to class.
+SHORT_LIST = 32
+#: Classes of one block of a cluster.
 BLOCK = 512
 #: Classes that one task remembers, to emit a class once; beyond it a class may be emitted again, which is dropped later.
 SEEN = 200_000
 #: Postings that a map task holds before it sends them.
 HELD = 1_000_000
-PARITY_BITS = 512
+#: Least and largest size of a parity vector.
+PARITY_BITS = (64, 2048)
 _CHUNK_LOG2 = 12
-_WORDS = [f"s{i}" for i in range(PARITY_BITS // 64)]
 #: Stands for a null id where texts are read again.
 _NAMELESS = -(2**63)
 _SALT = np.uint64(0xA0761D6478BD642F)
 _POSTINGS = (("token", "<u8"), ("class", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("parts", "<u4"))
 
 
-def overlap_needed(n_a: Column, n_b: Column) -> Column:
+def overlap_needed(n_a, n_b):
     """Smallest intersection of sets of these sizes that makes a link: ceil(t / (1 + t) * (n_a + n_b))."""
     total = NUMERATOR + DENOMINATOR
-    return F.floor((NUMERATOR * (n_a + n_b) + (total - 1)) / F.lit(total)).cast("long")
+    return (NUMERATOR * (n_a + n_b) + (total - 1)) // total
 
 
 def prefix_length(n):
@@ -84,12 +84,15 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def parities(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The parity words of each set, one row for each."""
-    sets = len(ends) - 1
-    owner = np.repeat(np.arange(sets, dtype=np.int64), np.diff(ends))
-    bits = np.bincount(owner * PARITY_BITS + (mix64(flat) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=sets * PARITY_BITS) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(sets, PARITY_BITS), axis=1).view("<i8")
+def parities(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The parity vector of each set; bit i counts the shingles whose hash is i modulo the vector's size."""
+    n = np.diff(ends)
+    low, high = PARITY_BITS
+    size = np.int64(1) << np.ceil(np.log2(np.clip(n, low, high))).astype(np.int64)
+    base = np.r_[0, np.cumsum(size)]
+    at = (mix64(flat) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(base[:-1], n)
+    raw = np.packbits((np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    return [raw[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
 
 
 def _sets(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -219,17 +222,16 @@ def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """For each row: id, class (null without words), its check hash, n, and the parity words."""
+    """For each row: id, class (null without words), its check hash, n, and the parity vector."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, flat, ends in _sets(batch):
             n = np.diff(ends)
             key, check = class_keys(flat, ends)
-            words = parities(flat, ends)
-            columns = [batch.column(0)[i:j], pa.array(key, mask=n == 0), pa.array(check, mask=n == 0), pa.array(n)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(words.shape[1]))], names=["id", "class", "check", "n", *_WORDS])
+            columns = [batch.column(0)[i:j], pa.array(key, mask=n == 0), pa.array(check, mask=n == 0), pa.array(n), pa.array(parities(flat, ends), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "check", "n", "parity"])
 
-    return map_batches(docs, run, "id long, class long, check long, n long, " + ", ".join(f"{w} long" for w in _WORDS))
+    return map_batches(docs, run, "id long, class long, check long, n long, parity binary")
 
 
 def postings(docs: DataFrame, levels: np.ndarray, shingles: int, buckets: int) -> DataFrame:
@@ -282,7 +284,7 @@ def postings(docs: DataFrame, levels: np.ndarray, shingles: int, buckets: int) -
 
 
 def shared_postings(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Postings whose list has two classes or more, or is in parts, each with its neighbour in one of ORDERS orders of classes.
+    """Postings whose list has two classes or more, or is in parts.
 
     A task holds the postings of its buckets, whose number follows that of the shuffle's partitions; a list beyond
     LONG_LIST is in parts, in buckets of their own.
@@ -297,58 +299,138 @@ def shared_postings(blocks: DataFrame, buckets: int) -> DataFrame:
             return
         token, key, n, pos, parts = (np.concatenate(c) for c in found)
         found.clear()
-        some = token & np.uint64(ORDERS - 1)
-        place = mix64(key.view(np.uint64) + some * _SALT)  # as good as distinct for distinct classes of a list
-        order = np.lexsort((key, place, token))
+        order = np.lexsort((key, token))
         token, key = token[order], key[order]
         # Copies in several tasks give equal rows, next to each other here.
         keep = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
         order, token, key = order[keep], token[keep], key[keep]
-        first = np.r_[True, token[1:] != token[:-1]]
-        counts = np.diff(np.flatnonzero(np.r_[first, True]))
+        counts = np.diff(np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]))
         keep = (np.repeat(counts, counts) > 1) | (parts[order] > 1)
-        order, token, key, first = order[keep], token[keep], key[keep], first[keep]
-        n, pos, parts = (x[order].astype(np.int32) for x in (n, pos, parts))
+        order, token, key = order[keep], token[keep], key[keep]
+        columns = [token.view(np.int64), parts[order].astype(np.int32), key, n[order].astype(np.int32), pos[order].astype(np.int32)]
         for a in range(0, len(token), 50_000):
-            b = min(a + 50_000, len(token))
-            before, none = np.arange(a - 1, b - 1), first[a:b]
-            columns = [token[a:b].view(np.int64), parts[a:b], key[a:b], n[a:b], pos[a:b]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *(pa.array(c[before], mask=none) for c in (key, n, pos))], names=["token", "parts", "class", "n", "pos", "class_b", "n_b", "pos_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=["token", "parts", "class", "n", "pos"])
         release_memory()
 
-    return blocks.repartition(buckets, "bucket").mapInArrow(run, "token long, parts int, class long, n int, pos int, class_b long, n_b int, pos_b int")
-
-
-def size_filters(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
-    """Length filter, and positional filter: after this first common shingle, enough of both must be left."""
-    small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    return (DENOMINATOR * small >= NUMERATOR * large) & (F.least(n_a - pos_a, n_b - pos_b) >= overlap_needed(n_a, n_b))
-
-
-def suffix_filter(a: str, b: str) -> Column:
-    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS), F.lit(0))
-    n_a, n_b = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
-    return differ <= n_a + n_b - 2 * overlap_needed(n_a, n_b)
+    return blocks.repartition(buckets, "bucket").mapInArrow(run, "token long, parts int, class long, n int, pos int")
+
+
+class Candidates:
+    """Classes in lists, with their set sizes, places in the list's prefix, and parity vectors; tells which pairs pass the filters."""
+
+    def __init__(self, n: np.ndarray, pos: np.ndarray, parity: pa.Array) -> None:
+        self.n, self.pos = n.astype(np.int64), pos.astype(np.int64)
+        parity = parity.cast(pa.large_binary())
+        off = np.frombuffer(parity.buffers()[1], np.int64)[parity.offset : parity.offset + len(parity) + 1] // 8
+        self.words, self.at, self.size = np.frombuffer(parity.buffers()[2], "<u8"), off[:-1], np.diff(off)
+
+    def size_filters(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length filter, and positional filter: after this first common shingle, enough of both must be left."""
+        a, b = self.n[i], self.n[j]
+        left = np.minimum(a - self.pos[i], b - self.pos[j])
+        return (DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)) & (left >= overlap_needed(a, b))
+
+    def suffix_filter(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        i, j = np.where(self.size[i] <= self.size[j], i, j), np.where(self.size[i] <= self.size[j], j, i)
+        for small, large in set(zip(self.size[i].tolist(), self.size[j].tolist(), strict=True)):
+            some = np.flatnonzero((self.size[i] == small) & (self.size[j] == large))
+            for k in range(0, len(some), 20_000):
+                part = some[k : k + 20_000]
+                x, y = i[part], j[part]
+                words = self.words[self.at[x][:, None] + np.arange(small)]
+                for fold in range(0, large, small):
+                    words ^= self.words[self.at[y][:, None] + (fold + np.arange(small))]
+                a, b = self.n[x], self.n[y]
+                out[part] = np.bitwise_count(words).sum(axis=1, dtype=np.int64) <= a + b - 2 * overlap_needed(a, b)
+        return out
+
+    def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = self.size_filters(i, j)
+        out[out] = self.suffix_filter(i[out], j[out])
+        return out
+
+    def reach(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Passing pairs that connect what all passing pairs between `low` and `high` rows connect, found from row to
+        row: a row is compared with those alone that nothing has reached yet."""
+        rest = np.ones(len(rows), bool)
+        stack: list[int] = []
+        while rest.any():
+            if not stack:
+                stack = [int(np.argmax(rest))]
+                rest[stack[0]] = False
+            i = stack.pop()
+            others = np.flatnonzero(rest & ((low[i] & high) | (high[i] & low)))
+            hit = others[self.passing(np.full(len(others), rows[i]), rows[others])] if len(others) else others
+            if len(hit):
+                yield np.full(len(hit), rows[i]), rows[hit]
+                rest[hit] = False
+                stack += hit.tolist()
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the nodes that the pairs connect to the least node of each component, the nodes themselves being numbers."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if (new == label).all() and (new[u] == new[v]).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[other], nodes[label[other]]
 
 
-def band(n: Column) -> Column:
-    """Sizes in bands, each 1.26 times the one before: partners, at most 1.25 times as large, are in one band or in two neighbours."""
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.26))).cast("int")
+def candidate_edges(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs a, b of classes that connect all classes which a pair of candidates connects, within each task's lists."""
+    dealt = shared.withColumn("part", F.pmod(F.col("class").bitwiseAND(0xFFFF), F.col("parts")).cast("int"))
+    # Each part of a list meets all parts, two at a time.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "n", "pos").join(classes.select("class", "parity"), "class")
+    short = SHORT_LIST
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nothing here is beyond a task's share of postings: long lists are in parts.
+        held = [x for x in batches if x.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        token, low, high, part, key, n, pos = (table.column(c).to_numpy() for c in ("token", "low", "high", "part", "class", "n", "pos"))
+        order = np.lexsort((key, high, low, token))
+        found = Candidates(n, pos, table.column("parity").combine_chunks())
+        change = (np.diff(token[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        cut = np.flatnonzero(np.r_[True, change, True])
+        start, length = cut[:-1], np.diff(cut)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in range(2, short + 1):
+            lists = start[length == size]
+            i, j = np.triu_indices(size, 1)
+            for a in range(0, len(lists), 1 + 500_000 // len(i)):
+                at = lists[a : a + 1 + 500_000 // len(i), None]
+                x, y = order[(at + i).ravel()], order[(at + j).ravel()]
+                some = (low[x] == high[x]) | (part[x] != part[y])
+                x, y = x[some], y[some]
+                ok = found.passing(x, y)
+                pairs.append((key[x[ok]], key[y[ok]]))
+        for a, size in zip(start[length > short].tolist(), length[length > short].tolist(), strict=True):
+            rows = order[a : a + size]
+            pairs += [(key[x], key[y]) for x, y in found.reach(rows, part[rows] == low[rows[0]], part[rows] == high[rows[0]])]
+        if pairs:
+            a, b = forest(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        release_memory()
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) that pass the suffix filter."""
-    attributes = classes.select("class", "n", *_WORDS)
-    x, y = attributes.alias("x"), attributes.alias("y")
-    return pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class")).where(suffix_filter("x", "y")).select("a", "b")
+    return dealt.repartition("token", "low", "high").mapInArrow(run, "a long, b long")
 
 
-def sets_of(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """class and shingles of the classes in pairs, but for those that `known` has. The texts of their first documents are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    if known is not None:
-        wanted = wanted.join(known.select("class"), "class", "left_anti")
-    wanted = scratch.keep(wanted.join(classes.select("class", F.coalesce("first", F.lit(_NAMELESS)).alias("first")), "class").select("first", "class"), "wanted")
+def sets_of(members: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """class and shingles of some classes. The texts of their first documents are read again."""
+    wanted = scratch.keep(members.select("class").join(classes.select("class", F.coalesce("first", F.lit(_NAMELESS)).alias("first")), "class").select("first", "class"), "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(membership(wanted.select("first"), wanted.count()))  # 16 MB at most
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -367,22 +449,6 @@ def sets_of(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, classes:
     return out
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of classes that link."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
-
-    def compare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(DENOMINATOR * same >= NUMERATOR * (len(x) + len(y) - same))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), compare, "a long, b long")
-
-
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars: node and root (the least node) for each linked node.
     The rounds grow with the logarithm of the longest path; if `most` do not settle them, it is an error."""
@@ -446,16 +512,16 @@ def unit_links(sizes: np.ndarray, flat: np.ndarray, left: np.ndarray, right: np.
     return pairs & (DENOMINATOR * both >= NUMERATOR * (n_a + n_b - both))
 
 
-def count_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """class and linked, the number of rows of other classes it links with. members: class, root, copies.
+def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the classes in clusters. members: class, cluster, copies. Two kinds of rows: class and linked, rows of
+    other classes that it links with, in parts to be summed; and class and other, a forest that connects what links connect.
 
-    A component of many classes is dealt out in blocks by hash; each pair of blocks is a unit, handled in one task."""
-    several = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    several = several.select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(several, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).join(sets, "class")
+    A cluster of many classes is dealt out in blocks by hash; each pair of blocks is a unit, handled in one task."""
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).join(sets, "class")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["root", "low", "high"]
-    dealt = dealt.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "copies", "shingles")
+    keys = ["cluster", "low", "high"]
+    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "copies", "shingles")
 
     def unit(low: int, high: int, rows: list[tuple]) -> pa.RecordBatch:
         block, key, copies = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
@@ -466,44 +532,45 @@ def count_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         linked[left] += links @ copies[right]
         if low != high:
             linked[right] += copies[left] @ links
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(linked)], names=["class", "linked"])
+        i, j = np.nonzero(links)
+        a, b = forest(key[left[i]], key[right[j]])
+        none = np.arange(len(key) + len(a)) < len(key)
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[key, a]), pa.array(np.r_[linked, a], mask=~none), pa.array(np.r_[key, b], mask=none)], names=["class", "linked", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
             head = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            for (root, low, high, block, key, copies), data in zip(head, batch.column(6), strict=True):
-                if (root, low, high) != now:
+            for (cluster, low, high, block, key, copies), data in zip(head, batch.column(6), strict=True):
+                if (cluster, low, high) != now:
                     if rows:
                         yield unit(now[1], now[2], rows)
-                    now, rows = (root, low, high), []
+                    now, rows = (cluster, low, high), []
                 rows.append((block, key, copies, data.as_py()))
         if rows:
             yield unit(now[1], now[2], rows)
         release_memory()
 
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "class long, linked long")
-    return found.groupBy("class").agg(F.sum("linked").alias("linked"))
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "class long, linked long, other long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", every_link: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: id, n_shingles, component_id (the least id reachable by links), its number of rows with equal sets,
     class_id (the least id of those) and links, the number of other rows it links with, those with equal sets among them.
 
-    Without every_link only components are found, and class_id and links are left out. Null texts and texts without
-    words have no shingles and link with nothing, not even each other; they are their own component. Rows with one id
-    and different texts are judged each by its text; a null id gives no component its name unless all its ids are
-    null. Texts of any length are taken whole. Columns other than the two are not looked at, whatever their names. An
-    empty table gives no rows.
+    Null texts and texts without words have no shingles and link with nothing, not even each other; they are their own
+    component. Rows with one id and different texts are judged each by its text; a null id gives no component its name
+    unless all its ids are null. Texts of any length are taken whole. Columns other than the two are not looked at,
+    whatever their names. An empty table gives no rows.
     """
     with Scratch(docs.sparkSession) as scratch:
-        return _near_duplicates(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), every_link, scratch)
+        return _near_duplicates(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), scratch)
 
 
-def _near_duplicates(rows: DataFrame, every_link: bool, scratch: Scratch) -> DataFrame:
+def _near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     spark: SparkSession = rows.sparkSession
     signed = scratch.keep(signatures(rows), "signatures")
-    grouped = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("check").alias("check"), F.max("check").alias("check_b"), F.min("n").alias("n"), *(F.min(w).alias(w) for w in _WORDS))
+    grouped = signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("check").alias("check"), F.max("check").alias("check_b"), F.min("n").alias("n"), F.first("parity").alias("parity"))
     classes = scratch.keep(grouped, "classes")
     totals = classes.agg(F.sum("n").alias("shingles"), F.coalesce(F.max(F.col("check") != F.col("check_b")), F.lit(False)).alias("clash")).first()
     if totals["clash"]:
@@ -512,44 +579,17 @@ def _near_duplicates(rows: DataFrame, every_link: bool, scratch: Scratch) -> Dat
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels = frequency_levels(rows, shingles)
     shared = scratch.keep(shared_postings(postings(rows, levels, shingles, 2 * buckets), buckets), "postings")
-
-    near = shared.where(F.col("class_b").isNotNull() & size_filters(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
-    near = near.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct()
-    near = scratch.keep(plausible(near, classes), "pairs")
-    sets = sets_of(near, None, rows, classes, scratch)
-    links = scratch.keep(verify(near, sets), "links")
-
-    roots = scratch.keep(components(links, scratch), "roots")
-    rooted = shared.select("token", "parts", "class", "n", "pos").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = scratch.keep(rooted, "rooted")
+    clusters = components(candidate_edges(shared, classes), scratch)
+    members = scratch.keep(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "copies"), "class"), "members")
     scratch.drop(shared)
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    lists = rooted.join(mixed, "token").withColumns({"part": F.pmod(F.col("class").bitwiseAND(0xFFFF), F.col("parts")).cast("int"), "band": band(F.col("n"))})
-    # Each part of a list meets all parts, and each band of sizes itself and the next: x is the smaller set of a pair.
-    x = lists.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
-    y = lists.alias("y")
-    rule = (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.band") == F.col("y.band"))
-    rule &= (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class")))
-    rule &= (F.col("x.root") != F.col("y.root")) & size_filters(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    rest = x.join(y, rule).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    rest = scratch.keep(plausible(rest.join(near, ["a", "b"], "left_anti"), classes), "pairs")
-    scratch.drop(rooted, near)
-    final = roots
-    if not rest.isEmpty():
-        others = sets_of(rest, sets, rows, classes, scratch)
-        sets = sets.unionByName(others)
-        more = scratch.keep(verify(rest, sets), "links")
-        if not more.isEmpty():
-            final = scratch.keep(components(links.unionByName(more), scratch), "roots")
+    found = scratch.keep(cluster_links(members, sets_of(members, rows, classes, scratch)), "links")
+    final = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), scratch)
 
     named = classes.select("class", "first", "copies").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("class", "first", "component_id", "copies", "root")
-    columns = ["id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies")]
-    if every_link:
-        linked = scratch.keep(count_links(final.withColumnRenamed("node", "class").join(classes.select("class", "copies"), "class"), sets), "linked")
-        named = named.join(linked, "class", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
-        columns += [F.coalesce("first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")]
+    linked = found.where("linked is not null").groupBy("class").agg(F.sum("linked").alias("linked"))
+    named = named.join(least, "root").join(linked, "class", "left").select("class", "first", "component_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    columns = ["id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")]
     return materialise(signed.select("id", "class", "n").join(named, "class", "left").select(*columns), "near-duplicates")
 
 
@@ -557,7 +597,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """docs with one row of each group of near duplicates: that with the least id. Repeated rows count as one; rows with
     one id and different texts stay if the id is their group's least. Rows without an id stay, as do null and empty
     texts. All columns are kept, whatever their names."""
-    found = near_duplicates(docs, id_column, text_column, every_link=False)
+    found = near_duplicates(docs, id_column, text_column)
     name, count = free_name("id", docs.columns), free_name("rows", docs.columns, ["id"])
     keep = materialise(found.where("id = component_id").groupBy(F.col("id").alias(name)).agg(F.count("*").alias(count)), "kept")
     columns = docs.columns

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from linkfold.llm import ngram_join
@@ -77,8 +78,9 @@ def test_classes_alone_in_their_part_stay(spark):
     assert sorted((r["token"], r["class"]) for r in ngram_join.shared_postings(frame, 2).collect()) == [(1, 10), (1, 11)]
 
 
-@pytest.mark.parametrize(("long_list", "block"), [(50_000, 512), (1, 7), (3, 1)])
-def test_every_link_is_counted(spark, monkeypatch, long_list, block):
+@pytest.mark.parametrize(("long_list", "block", "short"), [(50_000, 512, 32), (1, 7, 2), (3, 1, 1)])
+def test_every_link_is_counted(spark, monkeypatch, long_list, block, short):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = corpus()
@@ -137,12 +139,32 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
 
 
-def test_parity_never_exceeds_the_difference():
-    r = np.random.default_rng(1)
-    a = np.unique(r.integers(0, 2**63, 300, dtype=np.uint64))
-    b = np.unique(np.r_[a[:250], r.integers(0, 2**63, 40, dtype=np.uint64)])
-    bits = np.bitwise_count(np.bitwise_xor(*ngram_join.parities(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))).view(np.uint64)).sum()
-    assert bits <= len(np.setxor1d(a, b))
+@pytest.mark.parametrize(("n", "m"), [(300, 290), (40, 35), (520, 500), (70, 60), (5000, 4500)])
+def test_the_suffix_filter_never_rejects_a_link(n, m):
+    r = np.random.default_rng(n)
+    for same in (0.7, 0.85, 0.93, 0.99):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[: int(m * same)], r.integers(0, 2**63, m - int(m * same), dtype=np.uint64)])
+        sizes = np.array([len(a), len(b)])
+        found = ngram_join.Candidates(sizes, np.zeros(2), pa.array(ngram_join.parities(np.r_[a, b], np.r_[0, np.cumsum(sizes)]), pa.binary()))
+        both = len(np.intersect1d(a, b))
+        ok = found.suffix_filter(np.array([0, 1]), np.array([1, 0]))
+        assert ok[0] == ok[1]
+        assert ok[0] or 5 * both < 4 * (len(a) + len(b) - both)
+        assert not ok[0] or same > 0.7 or n > 4500
+
+
+def test_unit_links_are_all_links():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[r.choice(base, 55, replace=False), r.integers(0, 2**63, r.integers(0, 9), dtype=np.uint64)]) for _ in range(40)] + [base[:1], np.unique(base[:5])]
+    left, right = np.arange(0, 25), np.arange(10, 42)
+    got = ngram_join.unit_links(np.array([len(s) for s in sets]), np.concatenate(sets), left, right)
+    for x, i in enumerate(left):
+        for y, j in enumerate(right):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert got[x, y] == (i != j and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both))
+    assert 0 < got.sum() < got.size
 
 
 @pytest.mark.parametrize("n", [1, 2, 4, 5, 9, 10, 100])
