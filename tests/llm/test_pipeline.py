@@ -44,7 +44,7 @@ def test_classifier_stage(spark, sf_dir, stages):
 
 def test_language_stage(stages):
     _, before, after = stages[1]
-    known = {r["id"] for r in language_id.identify(before, language_id.learn(before)).collect() if r["lang_pred"] != "und"}
+    known = {r["id"] for r in language_id.identify(before, language_id.learn(before)).collect() if r["lang_pred"] != "und" and r["score"] >= language_id.MIN_SCORE}
     assert rows(after) == rows(before.where(F.col("doc_id").isin(known)))
 
 
