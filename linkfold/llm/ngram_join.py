@@ -428,10 +428,10 @@ def candidate_edges(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.repartition("token", "low", "high").mapInArrow(run, "a long, b long")
 
 
-def sets_of(members: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """class and shingles of some classes. The texts of their first documents are read again."""
-    wanted = scratch.keep(members.select("class").join(classes.select("class", F.coalesce("first", F.lit(_NAMELESS)).alias("first")), "class").select("first", "class"), "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(membership(wanted.select("first"), wanted.count()))  # 16 MB at most
+def sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The members (first, class and more) with their shingles; the texts of the first documents are read again. A row
+    may come more than once where a row of docs is repeated."""
+    bits = docs.sparkSession.sparkContext.broadcast(membership(members.select("first"), members.count()))  # 16 MB at most
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).fill_null(_NAMELESS).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -441,12 +441,8 @@ def sets_of(members: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Sc
             sets = [flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].fill_null(_NAMELESS), keys, pa.array(sets, pa.binary())], names=["first", "class", "shingles"])
 
-    # A repeated id may come with other texts: first and class together tell the right row, and one of those is enough.
-    sets = map_batches(docs, run, "first long, class long, shingles binary").join(wanted, ["first", "class"], "left_semi")
-    out = scratch.keep(sets.dropDuplicates(["class"]).select("class", "shingles"), "sets")
-    bits.destroy()
-    scratch.drop(wanted)
-    return out
+    # A repeated id may come with other texts: first and class together tell the right row.
+    return map_batches(docs, run, "first long, class long, shingles binary").join(members, ["first", "class"])
 
 
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
@@ -512,16 +508,16 @@ def unit_links(sizes: np.ndarray, flat: np.ndarray, left: np.ndarray, right: np.
     return pairs & (DENOMINATOR * both >= NUMERATOR * (n_a + n_b - both))
 
 
-def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the classes in clusters. members: class, cluster, copies. Two kinds of rows: class and linked, rows of
+def cluster_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of the classes in clusters. members: class, first, copies, cluster. Two kinds of rows: class and linked, rows of
     other classes that it links with, in parts to be summed; and class and other, a forest that connects what links connect.
 
     A cluster of many classes is dealt out in blocks by hash; each pair of blocks is a unit, handled in one task."""
     blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).join(sets, "class")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = sets_of(named, docs).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["cluster", "low", "high"]
-    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "copies", "shingles")
+    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block", "copies", "shingles")
 
     def unit(low: int, high: int, rows: list[tuple]) -> pa.RecordBatch:
         block, key, copies = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
@@ -541,17 +537,18 @@ def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         now, rows = None, []
         for batch in batches:
             head = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            for (cluster, low, high, block, key, copies), data in zip(head, batch.column(6), strict=True):
+            for (cluster, low, high, key, block, copies), data in zip(head, batch.column(6), strict=True):
                 if (cluster, low, high) != now:
                     if rows:
                         yield unit(now[1], now[2], rows)
                     now, rows = (cluster, low, high), []
-                rows.append((block, key, copies, data.as_py()))
+                if not rows or rows[-1][1] != key:  # a class comes once for each repeated row
+                    rows.append((block, key, copies, data.as_py()))
         if rows:
             yield unit(now[1], now[2], rows)
         release_memory()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "class long, linked long, other long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(run, "class long, linked long, other long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -580,9 +577,9 @@ def _near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     levels = frequency_levels(rows, shingles)
     shared = scratch.keep(shared_postings(postings(rows, levels, shingles, 2 * buckets), buckets), "postings")
     clusters = components(candidate_edges(shared, classes), scratch)
-    members = scratch.keep(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "copies"), "class"), "members")
+    members = scratch.keep(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", F.coalesce("first", F.lit(_NAMELESS)).alias("first"), "copies"), "class"), "members")
     scratch.drop(shared)
-    found = scratch.keep(cluster_links(members, sets_of(members, rows, classes, scratch)), "links")
+    found = scratch.keep(cluster_links(members, rows), "links")
     final = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")), scratch)
 
     named = classes.select("class", "first", "copies").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -596,13 +593,28 @@ def _near_duplicates(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: that with the least id. Repeated rows count as one; rows with
     one id and different texts stay if the id is their group's least. Rows without an id stay, as do null and empty
-    texts. All columns are kept, whatever their names."""
+    texts. All columns are kept, whatever their names.
+
+    Only rows that may have to go are joined with the decisions, so most texts are not shuffled."""
     found = near_duplicates(docs, id_column, text_column)
-    name, count = free_name("id", docs.columns), free_name("rows", docs.columns, ["id"])
-    keep = materialise(found.where("id = component_id").groupBy(F.col("id").alias(name)).agg(F.count("*").alias(count)), "kept")
-    columns = docs.columns
-    joined = docs.join(keep, docs[id_column].cast("long") == keep[name])
-    out = joined.where(F.col(count) == 1).select(*columns)
-    if keep.where(F.col(count) > 1).limit(1).count():
-        out = out.unionByName(joined.where(F.col(count) > 1).select(*columns).dropDuplicates([id_column, text_column]))
-    return out.unionByName(docs.where(F.col(id_column).isNull()))
+    name, count, least = (free_name(x, docs.columns) for x in ("id", "rows", "least"))
+    by_id = found.where("id is not null").groupBy(F.col("id").alias(name)).agg(F.count("*").alias(count), F.max(F.col("id") == F.col("component_id")).alias(least))
+    doubtful = materialise(by_id.where((F.col(count) > 1) | ~F.col(least)), "doubtful")
+    bits = docs.sparkSession.sparkContext.broadcast(membership(doubtful.select(name), doubtful.count()))  # 16 MB at most
+    at = docs.columns.index(id_column)
+
+    def choose(doubt: bool) -> Callable:
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            column = batch.column(at).cast(pa.int64())
+            may = _passes(bits.value, column.fill_null(0).to_numpy(zero_copy_only=False)) & column.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(may == doubt))
+
+        return run
+
+    # Ids that only seem to be doubtful have no row there, and stay.
+    joined = map_batches(docs, choose(True), docs.schema).join(doubtful, F.col(id_column).cast("long") == F.col(name), "left")
+    once = joined.where(F.col(count).isNull() | ((F.col(count) == 1) & F.col(least))).select(*docs.columns)
+    out = map_batches(docs, choose(False), docs.schema).unionByName(once)
+    if doubtful.where((F.col(count) > 1) & F.col(least)).limit(1).count():
+        out = out.unionByName(joined.where((F.col(count) > 1) & F.col(least)).select(*docs.columns).dropDuplicates([id_column, text_column]))
+    return out
