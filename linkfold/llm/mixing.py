@@ -6,7 +6,9 @@ otherwise repeat more often than allowed. A budget of tokens then gives each sou
 part. Documents lie in hash blocks; each epoch takes the blocks of a source in an order of its own, and the last,
 partial epoch ends in the block, and at the document, where the source's budget ends.
 
-Sums are by source and block, so no task holds a source; the driver holds one row for each source.
+Sums are by source and block, so no task holds a source; the number of blocks follows the number of rows, so that no
+block is large. The driver holds one row for each source, as the exponent needs all shares at once; tables of sources
+are broadcast up to BROADCAST_SOURCES rows and joined otherwise.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import materialise
+from linkfold.llm.common import free_name, materialise
 
-BLOCKS = 1024
+#: Blocks of a source, at least, and rows of a block on average, at most.
+BLOCKS, BLOCK_ROWS = 1024, 20_000
+BROADCAST_SOURCES = 100_000
 #: Target entropy as a share of the logarithm of the number of sources.
 ENTROPY = 0.9
 #: Most epochs of a source.
@@ -92,52 +96,66 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _named(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    source = F.coalesce(F.col(source_column).cast("string"), F.lit(""))
-    place = F.xxhash64(F.col(id_column), F.col(text_column))
-    return docs.withColumns({"__source": source, "__place": place, "__block": F.pmod(F.xxhash64(F.lit(7), place), F.lit(BLOCKS)).cast("int")})
+def block_of(place: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), place), F.lit(blocks)).cast("long")
 
 
-def _turn(epoch: Column) -> Column:
+def turn(source: Column, block: Column, epoch: Column, blocks: int) -> Column:
     """The place of a block in its source's order of an epoch; the block itself tells apart equal hashes."""
-    return F.shiftrightunsigned(F.xxhash64("__source", "__block", epoch), 24) * BLOCKS + F.col("__block")
+    spare = blocks.bit_length()
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(source, block, epoch), spare + 1), spare).bitwiseOR(block)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of sources, broadcast behind a check of its size."""
+    return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", target_entropy: float = ENTROPY, max_repeats: float = REPEATS, budget: float | None = None) -> DataFrame:
-    """docs, each row as often as the mixture takes it, with __epoch, __turn and __place, the order of training.
+    """docs, each row as often as the mixture takes it, with one more column, a struct of epoch, turn and place: the order
+    of training within a source. It is called `mixed`, with underscores after it where docs has that name; all columns
+    of docs stay as they are, whatever their names.
 
     Null sources count as the source "". Rows without words have no tokens: they go where their place falls, at no
     cost; a source without any token keeps its rows once. Equal rows share a place and go together, so a budget may
-    be missed by one place. An empty table gives no rows.
+    be missed by one place. An empty table gives no rows. Texts of any length are counted whole.
     """
     spark = docs.sparkSession
-    named = _named(docs, id_column, text_column, source_column)
-    sums = materialise(named.groupBy("__source", "__block").agg(F.sum(words(F.col(text_column))).alias("tokens")), "blocks")
-    totals = {r["__source"]: int(r["n"]) for r in sums.groupBy("__source").agg(F.sum("tokens").alias("n")).collect()}
+    blocks = max(BLOCKS, 1 << max(0, docs.count() // BLOCK_ROWS).bit_length())
+    own, cut_name, out_name = free_name("own", docs.columns), free_name("cut", docs.columns), free_name("mixed", docs.columns)
+    source, place = F.coalesce(docs[source_column].cast("string"), F.lit("")), F.xxhash64(docs[id_column], docs[text_column])
+    named = docs.withColumn(own, F.struct(source.alias("source"), place.alias("place"), block_of(place, blocks).alias("block")))
+    field = lambda name: F.col(f"{own}.{name}")
+    counted = named.select(field("source").alias("source"), field("block").alias("block"), field("place").alias("place"), F.col(text_column).alias("text"))
+    sums = materialise(counted.groupBy("source", "block").agg(F.sum(words(F.col("text"))).alias("tokens")), "blocks")
+    totals = {r["source"]: int(r["n"]) for r in sums.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     shares = plan(totals, target_entropy, max_repeats, budget)
     rows = [(s.source, s.budget // s.tokens, s.budget % s.tokens) for s in shares] + [(s, 1, 0) for s, n in totals.items() if not n]
-    whole = spark.createDataFrame(rows, "__source string, __full long, __rest long")
-    # One row for each source, which the driver holds already.
-    turned = sums.join(F.broadcast(whole), "__source").withColumn("__turn", _turn(F.col("__full")))
-    # BLOCKS rows for each source.
-    before = F.sum("tokens").over(Window.partitionBy("__source").orderBy("__turn")) - F.col("tokens")
-    last = turned.withColumn("__before", before).where((F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("tokens") >= F.col("__rest")))
+    whole = spark.createDataFrame(rows, "source string, full long, rest long")
+    turned = sums.join(_small(whole, len(rows)), "source").withColumn("turn", turn(F.col("source"), F.col("block"), F.col("full"), blocks))
+    # One row for each block of a source.
+    before = F.sum("tokens").over(Window.partitionBy("source").orderBy("turn")) - F.col("tokens")
+    last = turned.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("tokens") >= F.col("rest")))
     # The first such block: where tokens are 0 there may be none after it.
-    last = last.groupBy("__source").agg(F.min_by("__block", "__turn").alias("__block"), F.min("__turn").alias("__last"), F.min_by(F.col("__rest") - F.col("__before"), "__turn").alias("__left"))
-    # Of the block where the budget ends, places in order until it is reached: one of BLOCKS blocks of each source.
-    inside = named.select("__source", "__block", "__place", F.col(text_column).alias("__text")).join(F.broadcast(last), ["__source", "__block"])
-    inside = inside.groupBy("__source", "__place", "__left").agg(F.sum(words(F.col("__text"))).alias("tokens"))
-    reached = F.sum("tokens").over(Window.partitionBy("__source").orderBy("__place"))
-    ends = inside.withColumn("__reached", reached).where(F.col("__reached") >= F.col("__left")).groupBy("__source").agg(F.min("__place").alias("__end"))
-    cut = whole.join(last.select("__source", "__last"), "__source", "left").join(ends, "__source", "left")
-    found = named.join(F.broadcast(cut), "__source")
-    turn = _turn(F.col("__full"))
-    part = F.coalesce((turn < F.col("__last")) | ((turn == F.col("__last")) & (F.col("__place") <= F.col("__end"))), F.lit(False))
-    epochs = F.col("__full") + part.cast("int")
-    out = found.where(epochs > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
-    return out.withColumn("__turn", _turn(F.col("__epoch"))).select(*docs.columns, "__epoch", "__turn", "__place")
+    last = last.groupBy("source").agg(F.min_by("block", "turn").alias("block"), F.min("turn").alias("last"), F.min_by(F.col("rest") - F.col("before"), "turn").alias("left"))
+    # Of the block where the budget ends, places in order until it is reached: one block of each source.
+    inside = counted.join(_small(last, len(rows)), ["source", "block"])
+    inside = inside.groupBy("source", "place", "left").agg(F.sum(words(F.col("text"))).alias("tokens"))
+    reached = F.sum("tokens").over(Window.partitionBy("source").orderBy("place"))
+    ends = inside.withColumn("reached", reached).where(F.col("reached") >= F.col("left")).groupBy("source").agg(F.min("place").alias("end"))
+    cut = whole.join(last.select("source", "last"), "source", "left").join(ends, "source", "left")
+    cut = materialise(cut.select(F.struct("source", "full", "last", "end").alias(cut_name)), "cuts")
+    found = named.join(_small(cut, len(rows)), field("source") == F.col(f"{cut_name}.source"))
+    at = lambda epoch: turn(field("source"), field("block"), epoch, blocks)
+    limit = lambda name: F.col(f"{cut_name}.{name}")
+    part = F.coalesce((at(limit("full")) < limit("last")) | ((at(limit("full")) == limit("last")) & (field("place") <= limit("end"))), F.lit(False))
+    epochs = limit("full") + part.cast("int")
+    epoch = free_name("epoch", found.columns)
+    out = found.where(epochs > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)))
+    return out.select(*docs.columns, F.struct(F.col(epoch).alias("epoch"), at(F.col(epoch)).alias("turn"), field("place").alias("place")).alias(out_name))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """One row for each place a document takes: doc_id, source, epoch, block order, place, and its tokens."""
-    return mix(docs).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("__epoch").alias("epoch"), F.col("__turn").alias("turn"), F.col("__place").alias("place"), words(F.col("text")).alias("n_tokens"))
+    rows = docs.select("doc_id", "text", "source")
+    return mix(rows).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mixed.epoch").alias("epoch"), F.col("mixed.turn").alias("turn"), F.col("mixed.place").alias("place"), words(F.col("text")).alias("n_tokens"))
