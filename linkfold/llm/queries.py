@@ -40,7 +40,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.shard_documents(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
     rows = store.read().withColumn("text_crc32", F.crc32(F.col("text").cast("binary")))
-    return rows.select("doc_id", "lang", "source", "n_chars", "text_crc32", F.col("__file").alias("shard_file"))
+    return rows.select("doc_id", "lang", "source", "n_chars", "text_crc32", F.col(store.file_column).alias("shard_file"))
 
 
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
