@@ -6,12 +6,12 @@ the mildest to the strictest, and the last one is taken whose exact (Clopper-Pea
 good documents rejected stays within the ratio's part of the allowed risk. This fixed sequence needs no correction
 among the candidates of one ratio; the confidence is divided by the number of strata and ratios (Bonferroni), and the
 risk by the number of ratios, so that with the stated confidence no stratum loses more than `risk` of its good texts.
+The bound counts independent trials, so a text counts once, however many rows hold it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +22,36 @@ from pyspark.sql import functions as F
 from linkfold.llm.common import WORD_SPACE, map_batches, materialise
 
 SYMBOLS = b"#*$%&|<>"
-#: Ratios that a cutoff may act on, as permille of whole numbers so that bins are exact.
+#: Ratios that a cutoff may act on, in whole bins of whole numbers.
 RATIOS = ("symbols", "dup_lines", "upper", "word_length")
 #: Upper ends of strata by number of words; the last is open.
 STRATA = (100, 400)
 BINS = 40
-SCHEMA = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaims long"
+SCHEMA = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, hash long"
+
+
+def repeated_words(words: list[bytes], window: int) -> int:
+    """Words in windows that are found twice or more, the first one included: windows get numbers by joining the numbers
+    of shorter ones, so equal numbers are equal words and memory is a few numbers a word."""
+    if len(words) <= window or window < 1:
+        return 0
+    known: dict[bytes, int] = {}
+    unit = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    if len(known) == len(words):
+        return 0
+    grams, width = unit, 1
+    while width < window:
+        step = width if 2 * width <= window else 1
+        tail = grams if step > 1 else unit
+        n = len(words) - width - step + 1
+        grams = np.unique(grams[:n] * (int(tail.max()) + 1) + tail[width : width + n], return_inverse=True)[1]
+        width += step
+    often = np.bincount(grams)[grams] > 1
+    cover = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(often)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + window, -1)
+    return int((np.cumsum(cover) > 0).sum())
 
 
 def text_counts(text: bytes | None, window: int = 5) -> tuple[int, ...]:
@@ -39,31 +63,22 @@ def text_counts(text: bytes | None, window: int = 5) -> tuple[int, ...]:
     words = text.split()
     chars = len(text.decode("utf-8", "replace")) - sum(text.count(bytes([c])) for c in WORD_SPACE)
     lines = [x for x in text.split(b"\n") if x.strip(WORD_SPACE)]
-    repeated = 0
-    if len(words) >= window:
-        grams = list(zip(*(words[i:] for i in range(window)), strict=False))
-        if len(set(grams)) < len(grams):
-            counts = Counter(grams)
-            end = 0
-            for i, g in enumerate(grams):
-                if counts[g] > 1:
-                    repeated += i + window - max(i, end)
-                    end = i + window
+    repeated = repeated_words(words, window)
     upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, text.count(b"!")
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper
 
 
 def _count_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary())
     rows = [text_counts(x.as_py()) for x in texts]
-    columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
+    columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), batch.column(2)]
     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of counts for each document, whole texts; repeated rows stay repeated."""
-    return map_batches(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), _count_batch, SCHEMA)
+    return map_batches(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("hash")), _count_batch, SCHEMA)
 
 
 def base_failed() -> Column:
@@ -136,10 +151,14 @@ def choose_cutoffs(counts: dict[tuple[int, str, int], tuple[int, int]], risk: fl
 def learn_cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float, id_column: str = "doc_id", label_column: str = "quality") -> dict[tuple[int, str], int]:
     """Counts over all labelled rows; what comes to the driver has one row for each stratum, ratio and bin.
 
-    Rows without a label, or with a label other than 0 and 1, teach nothing.
+    Rows without a label, or with a label other than 0 and 1, teach nothing. Equal texts are one trial; ids or texts
+    that have both labels teach nothing either.
     """
     marks = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).alias("label")).where("label in (0, 1)")
-    joined = measured.where(~base_failed()).join(marks, "id").select("label", stratum().alias("stratum"), F.posexplode(F.array(*ratio_bins().values())).alias("ratio", "bin"))
+    one = lambda df, key, *more: df.groupBy(key).agg(F.min("label").alias("label"), F.max("label").alias("other"), *more).where("label = other")
+    bins = F.first(F.struct(stratum().alias("stratum"), F.array(*ratio_bins().values()).alias("bins"))).alias("own")
+    joined = one(measured.where(~base_failed()).join(one(marks, "id").select("id", "label"), "id"), "hash", bins)
+    joined = joined.select("label", F.col("own.stratum").alias("stratum"), F.posexplode("own.bins").alias("ratio", "bin"))
     rows = joined.groupBy("stratum", "ratio", "bin").agg(F.sum(F.col("label")).alias("good"), F.count("*").alias("n")).collect()
     return choose_cutoffs({(r["stratum"], RATIOS[r["ratio"]], r["bin"]): (int(r["good"]), r["n"] - int(r["good"])) for r in rows}, risk, delta)
 
@@ -153,6 +172,11 @@ def verdict(measured: DataFrame, cutoffs: dict[tuple[int, str], int]) -> DataFra
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """Counts, base rules and the verdict of each document: id, the counts, base_failed, failed_rules, kept."""
+    """Counts, base rules and the verdict of each document: id, the counts, base_failed, failed_rules, kept.
+
+    Null and empty texts have no words and fail the base rules; repeated rows stay repeated; texts of any length are
+    counted whole; ties in a bin go together; an empty table gives no rows, and without labels only the base rules
+    act. Columns other than id and text are not looked at.
+    """
     measured = materialise(measure(docs), "counts")  # numbers only: texts are read once and never shuffled
     return verdict(measured, learn_cutoffs(measured, labels, risk, delta))

@@ -37,6 +37,29 @@ def test_counts(text):
     assert qr.text_counts(text.encode() if text is not None else None)[:5] == plain(text)
 
 
+def test_counts_of_random_texts_and_a_long_one():
+    r = random.Random(7)
+    for _ in range(200):
+        text = "".join(r.choice(["a ", "b ", "a b ", "c\n"]) for _ in range(r.randint(0, 40)))
+        assert qr.text_counts(text.encode())[:5] == plain(text)
+    long = " ".join(f"w{i % 30_011}" for i in range(400_000))
+    assert qr.text_counts(long.encode())[4] == 400_000 and qr.text_counts(b"x" * 3_000_000)[0] == 1
+
+
+def test_equal_texts_are_one_trial_and_both_labels_none(spark):
+    text = lambda i: " ".join(f"v{i}x{j}" for j in range(20))
+    rows = [(i, text(0)) for i in range(30)] + [(100 + i, text(1 + i)) for i in range(5)] + [(200, text(50)), (201, text(50))]
+    labels = [(i, 1) for i in range(30)] + [(100 + i, 1) for i in range(5)] + [(100, 0), (200, 0), (201, 1), (101, 1)]
+    seen = {}
+    real = qr.choose_cutoffs
+    try:
+        qr.choose_cutoffs = lambda counts, risk, delta: seen.update(counts) or real(counts, risk, delta)
+        qr.learn_cutoffs(qr.measure(spark.createDataFrame(rows, "doc_id long, text string")), spark.createDataFrame(labels, "doc_id long, quality int"), 0.05, 0.05)
+    finally:
+        qr.choose_cutoffs = real
+    assert {sum(g + b for (_, name, _), (g, b) in seen.items() if name == ratio) for ratio in qr.RATIOS} == {5}
+
+
 def test_exact_bound():
     for k, n, delta in [(0, 100, 0.05), (3, 50, 0.01), (20, 400, 0.001)]:
         p = qr.upper_bound(k, n, delta)
