@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import map_batches, slices, text_buffer
+from linkfold.llm.common import map_batches, release_memory, slices, text_buffer
 from linkfold.llm.tokens import CALL_BYTES, encoder
 
 SCHEMA = "part int, id long, part_start long, n_tokens long, ids array<int>"
@@ -57,6 +57,7 @@ def encode_sorted(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 ids = pa.ListArray.from_arrays(pa.array(starts - start, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, part, np.int32)), batch.column(0)[i:j], pa.array(starts[:-1]), pa.array(sizes), ids], schema=_ARROW)
                 start = int(starts[-1])
+        release_memory()
 
     return ranged.mapInArrow(run, SCHEMA)
 
