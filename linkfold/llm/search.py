@@ -1,15 +1,16 @@
-"""Exact top-k search: BM25 over an inverted index with block-max WAND pruning, run per shard and merged.
-
-Each shard of documents has its own index: sorted term hashes, postings by document, and the documents' own terms.
-The numbers that scores need from everywhere (documents, average length, document frequencies) are counted over all
-shards first, so scores of different shards compare. For a query and a shard, the lists are ordered by the most they
-can add to a score (idf times the largest term weight in the list). As long as the lists with the smallest bounds
-together stay below the current k-th best score, a document in none of the others can't be in the result: this is
-WAND's pivot. Documents in the lists beyond the pivot get their partial score; one that, with the bound of its block
-of documents on the lists before the pivot, stays below the k-th best goes. Those left are scored in full, always in the
-order of term hashes, so equal texts have equal scores wherever they lie. Ties go to the smaller id.
-
-Queries come in blocks of a bounded number of bytes; each block meets all shards.
+"""Exact top-k search: BM25 over an inverted index with block-max WAND pruning, run per shard and merged exactly.
+
+Each shard of documents has its own index: sorted term hashes, and postings by blocks of documents, with the largest
+count of each term in each block. Documents of a shard are put in order of their most frequent term and their length, so
+that a block holds documents of one kind. The numbers that scores need from everywhere (documents, average length,
+document frequencies) are counted over all shards first, so scores of different shards compare.
+
+Queries come in blocks of a bounded number of bytes; each block meets all shards. For a query and a shard, terms are
+parted as WAND parts them: rare terms bring documents in, terms that many documents have are held back. Rare terms'
+lists are added up. A block of documents whose best such sum, with the block maxima of the terms held back, stays below
+the query's k-th best score is skipped by all its cursors, and its postings of those terms aren't touched. The blocks
+with the best bounds go first and raise the floor for the others. Documents that then reach the floor are scored afresh,
+always in the order of term hashes, so equal texts have equal scores wherever they lie. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -22,15 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import map_batches, materialise, slices, text_buffer, word_hashes
+from linkfold.llm.common import Scratch, map_batches, materialise, release_memory, slices, text_buffer, word_hashes
 
 K1, B = 1.2, 0.75
-#: Text of one shard, and of one block of queries.
-SHARD_BYTES = 16 << 20
+#: Text and documents of one shard, about, and text of one block of queries.
+SHARD_BYTES, SHARD_DOCUMENTS = 16 << 20, 16_384
 QUERY_BYTES = 24 << 20
-#: Documents of one block for block maxima.
-BLOCK = 64
-_INDEX = "ids binary, lengths binary, vocabulary binary, term_ptr binary, post_doc binary, post_tf binary"
+#: Documents of one block for block maxima, and queries that go through a shard together.
+BLOCK, TOGETHER = 64, 256
+#: Terms are held back where queries with the term times documents with it are more than this share of all pairs; at most so many.
+HELD_BACK, HELD_TERMS = 1 / 200, 1024
+#: Blocks of the best bounds that are scored before the others.
+AHEAD = 2
+_INDEX = {"ids": "<i8", "lengths": "<i8", "ptr": "<i8", "term": "<i4", "tf": "<i4", "vocabulary": "<u8", "df": "<i4", "block_ptr": "<i8", "block_term": "<i4", "block_tf": "<i4", "block_least": "<i8"}
+_SCHEMA = ", ".join(f"{name} binary" for name in _INDEX)
 
 
 def document_terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,16 +55,41 @@ def document_terms(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _index_batch(parts: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
-    base = np.cumsum([0] + [len(x) for x in ids])
-    terms = np.concatenate([p[0] for p in parts])
-    tf = np.concatenate([p[1] for p in parts]).astype(np.int32)
-    doc = np.concatenate([p[2] + b for p, b in zip(parts, base[:-1].tolist(), strict=True)]).astype(np.int32)
     lengths = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    order = np.argsort(terms, kind="stable")  # documents stay in order within a term
-    vocabulary, start = np.unique(terms[order], return_index=True)
-    ptr = np.r_[start, len(order)].astype(np.int64)
-    columns = [np.concatenate(ids), lengths, vocabulary, ptr, doc[order], tf[order]]
-    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=[x.split()[0] for x in _INDEX.split(", ")])
+    base = np.cumsum([0] + [len(x) for x in ids])
+    hashes = np.concatenate([p[0] for p in parts])
+    tf = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    doc = np.concatenate([p[2] + b for p, b in zip(parts, base[:-1].tolist(), strict=True)]).astype(np.int64)
+    vocabulary, term = np.unique(hashes, return_inverse=True)
+    # Documents by their most frequent term (of equals the first), and by length.
+    first = np.full(len(lengths), -1, np.int64)
+    best = np.lexsort((-term, tf, doc))
+    first[doc[best]] = term[best]
+    order = np.lexsort((lengths, first))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by = np.lexsort((term, place[doc]))
+    doc, term, tf = place[doc][by], term[by], tf[by]
+    blocks = -(-len(order) // BLOCK)
+    lengths = lengths[order]
+    # Block maxima: the largest count of a term, and the least length, in a block.
+    by = np.lexsort((term, doc // BLOCK))
+    at, what = (doc // BLOCK)[by], term[by]
+    starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (what[1:] != what[:-1])]) if len(by) else np.empty(0, np.int64)
+    columns = {
+        "ids": np.concatenate(ids)[order],
+        "lengths": lengths,
+        "ptr": np.searchsorted(doc, np.arange(len(order) + 1)),
+        "term": term,
+        "tf": tf,
+        "vocabulary": vocabulary,
+        "df": np.bincount(term, minlength=len(vocabulary)),
+        "block_ptr": np.searchsorted(at[starts], np.arange(blocks + 1)),
+        "block_term": what[starts],
+        "block_tf": np.maximum.reduceat(tf[by], starts) if len(by) else tf,
+        "block_least": np.minimum.reduceat(lengths, np.arange(0, len(lengths), BLOCK)),
+    }
+    return pa.RecordBatch.from_arrays([pa.array([columns[n].astype(kind).tobytes()], pa.binary()) for n, kind in _INDEX.items()], names=list(_INDEX))
 
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -69,116 +100,129 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in slices(off):
+            for i, j in ((a, min(a + 4096, end)) for start, end in slices(off) for a in range(start, end, 4096)):
                 parts.append(document_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
                 ids.append(own[i:j])
                 size += int(off[j] - off[i])
-                if size >= shard_bytes:
+                if size >= shard_bytes or sum(map(len, ids)) >= SHARD_DOCUMENTS:
                     yield _index_batch(parts, ids)
                     parts, ids, size = [], [], 0
         if parts:
             yield _index_batch(parts, ids)
+        release_memory()
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull())
-    return rows.mapInArrow(run, _INDEX)
+    return rows.mapInArrow(run, _SCHEMA)
+
+
+class Queries:
+    """A block of queries: their ids, and their terms as numbers in the sorted vocabulary of all of them."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]]) -> None:
+        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.vocabulary = np.unique(np.concatenate([t for _, t in rows]))
+        self.ptr = np.cumsum([0] + [len(t) for _, t in rows])
+        self.term = np.searchsorted(self.vocabulary, np.concatenate([t for _, t in rows])).astype(np.int32)
+        self.asked = np.bincount(self.term, minlength=len(self.vocabulary))
 
 
 class Shard:
-    """An index row in memory, with term weights for a given average length."""
-
-    def __init__(self, row: dict, average: float) -> None:
-        get = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
-        self.ids, self.lengths = get("ids", np.int64), get("lengths", np.int64)
-        self.vocabulary, self.ptr = get("vocabulary", np.uint64), get("term_ptr", np.int64)
-        self.doc, tf = get("post_doc", np.int32), get("post_tf", np.int32)
-        norm = K1 * (1 - B + B * self.lengths / max(average, 1e-9))
-        self.weight = norm[self.doc]
-        self.weight += tf
-        np.divide(tf * (K1 + 1), self.weight, out=self.weight)
-        n = len(self.ids)
-        self.blocks = -(-n // BLOCK)
-        if not len(self.doc):
-            return
-        self.most = np.maximum.reduceat(self.weight, self.ptr[:-1])
-        # Block maxima: postings of a term are in order of documents, so those of a block lie together.
-        term = np.repeat(np.arange(len(self.vocabulary), dtype=np.int32), np.diff(self.ptr))
-        of = self.doc // BLOCK
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])])
-        self.block, self.block_most = (self.doc[first] // BLOCK).astype(np.int32), np.maximum.reduceat(self.weight, first)
-        self.block_ptr = np.searchsorted(first, self.ptr)
-        # The documents' own terms, in order of their hash.
-        order = np.argsort(self.doc, kind="stable")
-        self.own_term, self.own_weight = term[order], self.weight[order]
-        self.own_ptr = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.asked = np.zeros(len(self.vocabulary), bool)
-
-    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the sorted terms the shard has, and where."""
-        if not len(self.vocabulary):
-            return np.zeros(len(terms), bool), np.zeros(len(terms), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
-        return self.vocabulary[at] == terms, at
-
-    def weigh(self, has: np.ndarray, where: np.ndarray, idf: np.ndarray) -> None:
-        """Multiplies the weights of the queries' terms by their idf, in place and once for all queries of a block."""
-        factor = np.zeros(len(self.vocabulary))
-        factor[where[has]] = idf[has]
-        self.score, self.own_score, self.block_bound = self.weight, self.own_weight, self.block_most
-        self.score *= np.repeat(factor, np.diff(self.ptr))
-        self.block_bound *= np.repeat(factor, np.diff(self.block_ptr))
-        self.own_score *= factor[self.own_term]
-        self.bound = self.most * factor
-
-    def top(self, at: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores that may be among the k best, given that k others reach `floor` already."""
-        bound = self.bound[at]
-        order = np.argsort(bound, kind="stable")
-        at, bound = at[order], bound[order]
-        n, sizes = len(self.ids), self.ptr[at + 1] - self.ptr[at]
-        slack = 1e-9 * (1 + float(bound.sum()))
-        pivot = int(np.searchsorted(np.cumsum(bound), floor - slack)) if floor > 0 else 0
-        if pivot >= len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        total = self._add(self.ptr, at[pivot:], self.doc, self.score, n)
-        if pivot:
-            rest = self._add(self.block_ptr, at[:pivot], self.block, self.block_bound, self.blocks)
-            reach = np.where(total > 0, total + np.repeat(rest, BLOCK)[:n], -1.0)
-            chosen = np.flatnonzero(reach >= floor - slack)
-            # Those left get the lists before the pivot: from these lists, or from their own terms, whichever is shorter.
-            if (self.own_ptr[chosen + 1] - self.own_ptr[chosen]).sum() > sizes[:pivot].sum():
-                before = self._add(self.ptr, at[:pivot], self.doc, self.score, n)
-                values = total[chosen] + before[chosen]
-            else:
-                added, ends = self._own(at, chosen)
-                values = np.add.reduceat(added, ends[:-1]) if len(chosen) else np.empty(0)
-        else:
-            chosen = np.flatnonzero(total > 0)
-            values = total[chosen]
-        if len(chosen) > k:
-            floor = max(floor, float(np.partition(values, len(values) - k)[len(values) - k]))
-        chosen = chosen[values >= floor - slack]
-        if not len(chosen):
-            return np.empty(0, np.int64), np.empty(0)
-        added, ends = self._own(at, chosen)
-        added, ends = added.tolist(), ends.tolist()
-        scores = np.array([math.fsum(filter(None, added[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)])
-        best = np.lexsort((self.ids[chosen], -scores))[:k]
-        return self.ids[chosen[best]], scores[best]
-
-    @staticmethod
-    def _add(ptr: np.ndarray, rows: np.ndarray, place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
-        """Sums of the values of some lists by place."""
-        spans = [slice(a, b) for a, b in zip(ptr[rows].tolist(), ptr[rows + 1].tolist(), strict=True)]
-        return np.bincount(np.concatenate([place[x] for x in spans]), weights=np.concatenate([value[x] for x in spans]), minlength=size)
-
-    def _own(self, at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What each of some documents' own terms adds (0 for those not asked), and where each document's begin."""
-        self.asked[at] = True
-        lists, sizes = _ranges(self.own_ptr, docs)
-        added = self.own_score[lists] * self.asked[self.own_term[lists]]
-        self.asked[at] = False
-        ends = np.r_[0, np.cumsum(sizes)]
-        return added, ends
+    """An index row in memory, with term weights for a given average length and the idf of a block of queries."""
+
+    def __init__(self, row: dict, average: float, queries: Queries, idf: np.ndarray) -> None:
+        get = {name: np.frombuffer(row[name].as_buffer(), kind) for name, kind in _INDEX.items()}
+        self.ids, self.ptr, self.term, self.tf = get["ids"], get["ptr"], get["term"], get["tf"]
+        n = self.documents = len(self.ids)
+        self.norm, least = (K1 * (1 - B + B * get[x] / max(average, 1e-9)) for x in ("lengths", "block_least"))
+        own = get["vocabulary"]
+        at = np.minimum(np.searchsorted(own, queries.vocabulary), max(len(own) - 1, 0))
+        has = own[at] == queries.vocabulary if len(own) else np.zeros(len(at), bool)
+        #: Of each query term, its number here or -1; and the idf of each term here, 0 for those not asked.
+        self.here = np.where(has, at, -1)
+        self.idf = np.zeros(len(own))
+        self.idf[at[has]] = idf[has]
+        # Terms that many documents and many queries have are held back.
+        asked = np.zeros(len(own), np.int64)
+        asked[at[has]] = queries.asked[has]
+        pairs = asked * get["df"]
+        held = np.flatnonzero(pairs > HELD_BACK * len(queries.ids) * n)
+        held = held[np.argsort(-pairs[held], kind="stable")[:HELD_TERMS]]
+        self.held = np.full(len(own), -1, np.int64)
+        self.held[held] = np.arange(len(held))
+        # Weights of the held terms by document, and their block maxima.
+        owner = np.repeat(np.arange(n), np.diff(self.ptr))
+        weight = (self.tf * (K1 + 1) / (self.tf + self.norm[owner]) * self.idf[self.term]).astype(np.float32)
+        dense = self.held[self.term] >= 0
+        self.weights = np.zeros((len(held), n), np.float32)
+        self.weights[self.held[self.term[dense]], owner[dense]] = weight[dense]
+        self.blocks = len(least)
+        block = np.repeat(np.arange(self.blocks), np.diff(get["block_ptr"]))
+        dense = self.held[get["block_term"]] >= 0
+        what, most, block = get["block_term"][dense], get["block_tf"][dense], block[dense]
+        self.maxima = np.zeros((len(held), self.blocks), np.float32)
+        self.maxima[self.held[what], block] = most * (K1 + 1) / (most + least[block]) * self.idf[what]
+        # Lists of the other terms that are asked.
+        rest = np.flatnonzero((asked[self.term] > 0) & (self.held[self.term] < 0))
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.list_ptr = np.searchsorted(self.term[rest], np.arange(len(own) + 1))
+        self.list_doc, self.list_weight = owner[rest].astype(np.int32), weight[rest]
+        self.flag = np.zeros(len(own), bool)
+        #: Pairs of a query and a block of documents that held terms were added up for, and all such pairs.
+        self.touched = self.all = 0
+
+    def top(self, queries: Queries, rows: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For some queries, their documents that may be among the k best, and exact scores, given that k others reach `floor` already."""
+        n = self.documents
+        terms, _ = _ranges(queries.ptr, rows)
+        owner = np.repeat(np.arange(len(rows)), np.diff(queries.ptr)[rows])
+        term = self.here[queries.term[terms]]
+        owner, term = owner[term >= 0], term[term >= 0]
+        back = self.held[term] >= 0
+        asks = np.zeros((len(rows), len(self.weights)), np.float32)
+        asks[owner[back], self.held[term[back]]] = 1
+        lists, sizes = _ranges(self.list_ptr, term[~back])
+        score = np.bincount(np.repeat(owner[~back] * n, sizes) + self.list_doc[lists], weights=self.list_weight[lists], minlength=len(rows) * n).astype(np.float32).reshape(len(rows), n)
+        bound = np.maximum.reduceat(score, np.arange(0, n, BLOCK), axis=1) + asks @ self.maxima
+        slack = 1e-4 * (1 + bound.max(axis=1))
+        floor = np.maximum(floor[rows], 1e-6)
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        open_, whole = bound > 0, np.zeros(bound.shape, bool)
+        self.all += open_.size
+        for first in (True, False):
+            live = open_ & ~whole & (bound >= (floor - slack)[:, None])
+            if first:
+                live &= rank < AHEAD
+            for b in range(self.blocks):
+                some = live[:, b].nonzero()[0]
+                if len(some):
+                    score[some, b * BLOCK : (b + 1) * BLOCK] += asks[some] @ self.weights[:, b * BLOCK : (b + 1) * BLOCK]
+            whole |= live
+            self.touched += int(live.sum())
+            if not first:
+                score *= np.repeat(whole, BLOCK, axis=1)[:, :n]
+            # What is added up so far is no more than the documents' scores: a floor for the rest.
+            if n > k:
+                floor = np.maximum(floor, np.partition(score, n - k, axis=1)[:, n - k] - slack)
+        found, docs = (score >= np.maximum(floor - slack, 1e-7)[:, None]).nonzero()
+        cut = np.searchsorted(found, np.arange(len(rows) + 1))
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            own = self.here[queries.term[queries.ptr[rows[r]] : queries.ptr[rows[r] + 1]]]
+            yield int(rows[r]), *self._exact(own[own >= 0], docs[cut[r] : cut[r + 1]], k)
+
+    def _exact(self, terms: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.flag[terms] = True
+        at, sizes = _ranges(self.ptr, docs)
+        owner = np.repeat(np.arange(len(docs)), sizes)
+        asked = self.flag[self.term[at]]
+        at, owner = at[asked], owner[asked]
+        self.flag[terms] = False
+        tf = self.tf[at]
+        added = (tf * (K1 + 1) / (tf + self.norm[docs[owner]]) * self.idf[self.term[at]]).tolist()
+        ends = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        scores = np.array([math.fsum(added[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        best = np.lexsort((self.ids[docs], -scores))[:k]
+        best = best[scores[best] > 0]
+        return self.ids[docs[best]], scores[best]
 
 
 def _ranges(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,39 +231,31 @@ def _ranges(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(sizes.sum())) + np.repeat(start - np.r_[0, np.cumsum(sizes)[:-1]], sizes), sizes
 
 
-def search_shards(index: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, documents: int, average: float, floors: np.ndarray | None, frequency: np.ndarray, vocabulary: np.ndarray) -> DataFrame:
-    """Each shard's k best for each query: query_id, doc_id, score. vocabulary: sorted terms of all queries."""
+def search_shards(index: DataFrame, queries: Queries, k: int, documents: int, average: float, floors: np.ndarray, frequency: np.ndarray) -> DataFrame:
+    """Each task's k best for each query over its shards: query_id, doc_id, score."""
     idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
-    ptr = np.cumsum([0] + [len(t) for _, t in queries])
-    packed = (np.array([q for q, _ in queries], np.int64), np.searchsorted(vocabulary, np.concatenate([t for _, t in queries])).astype(np.int32), ptr, vocabulary, idf, floors)
-    shared = index.sparkSession.sparkContext.broadcast(packed)  # bounded by QUERY_BYTES
+    shared = index.sparkSession.sparkContext.broadcast((queries, idf, floors))  # bounded by QUERY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, term, ptr, vocabulary, idf, floors = shared.value
-        floor = np.zeros(len(names)) if floors is None else floors.copy()
-        best: list[list[tuple[float, int]]] = [[] for _ in names]
+        queries, idf, floors = shared.value
+        floor, count = floors.copy(), len(queries.ids)
+        best: list[list[tuple[float, int]]] = [[] for _ in range(count)]
         for batch in batches:
             for r in range(batch.num_rows):
-                shard = Shard({n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}, average)
-                has, where = shard.find(vocabulary)
-                if not len(shard.doc):
+                shard = Shard({n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}, average, queries, idf)
+                if not len(shard.term):
                     continue
-                shard.weigh(has, where, idf)
-                for q in range(len(names)):
-                    t = term[ptr[q] : ptr[q + 1]]
-                    t = t[has[t]]
-                    if not len(t):
-                        continue
-                    ids, scores = shard.top(where[t], k, floor[q])
-                    if len(ids):
-                        merged = sorted([*best[q], *zip((-scores).tolist(), ids.tolist(), strict=True)])[:k]
-                        best[q] = merged
+                for a in range(0, count, TOGETHER):
+                    for q, ids, scores in shard.top(queries, np.arange(a, min(a + TOGETHER, count)), k, floor):
+                        best[q] = merged = sorted([*best[q], *zip((-scores).tolist(), ids.tolist(), strict=True)])[:k]
                         if len(merged) == k:
                             floor[q] = max(floor[q], -merged[-1][0])
-        rows = [(int(names[q]), d, -s) for q, found in enumerate(best) for s, d in found]
+                del shard
+        rows = [(int(queries.ids[q]), d, -s) for q, found in enumerate(best) for s, d in found]
         for a in range(0, len(rows), 20_000):
             columns = list(zip(*rows[a : a + 20_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
+        release_memory()
 
     return index.mapInArrow(run, "query_id long, doc_id long, score double")
 
@@ -231,63 +267,76 @@ def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value), np.int64)
         for r in range(batch.num_rows):
-            own = np.frombuffer(batch.column(0)[r].as_buffer(), np.uint64)
-            ptr = np.frombuffer(batch.column(1)[r].as_buffer(), np.int64)
+            own, df = (np.frombuffer(batch.column(i)[r].as_buffer(), _INDEX[n]) for i, n in enumerate(("vocabulary", "df")))
             if len(own):
                 at = np.minimum(np.searchsorted(own, shared.value), len(own) - 1)
-                total += np.where(own[at] == shared.value, ptr[at + 1] - ptr[at], 0)
+                total += np.where(own[at] == shared.value, df[at], 0)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
 
-    found = map_batches(index.select("vocabulary", "term_ptr"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = map_batches(index.select("vocabulary", "df"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(vocabulary), np.int64)
     table = found.toArrow()  # at most one row for each term of a bounded block of queries
     out[table.column("term").to_numpy()] = table.column("n").to_numpy()
+    shared.destroy()
     return out
 
 
+def _query_terms(asked: DataFrame) -> DataFrame:
+    """id and sorted term hashes of each query."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw, off = text_buffer(batch.column(1))
+        for i, j in slices(off):
+            terms, _, owner, _ = document_terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            cut = np.searchsorted(owner, np.arange(j - i + 1)).tolist()
+            sets = [terms[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sets, pa.binary()), batch.column(2)[i:j]], names=["id", "terms", "block"])
+
+    return map_batches(asked, run, "id long, terms binary, block long")
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", text_column: str = "text", query_bytes: int = QUERY_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, doc_id, score: for each query (its text's distinct words) the k best documents of all.
 
     Words are runs of other than blank and \\x09-\\x0D, A-Z lower-cased. A document with no word of the query is no
     result; a query without words, or with a null id, has none; of queries with one id the least text counts. Rows of
-    docs with one id are documents of their own.
+    docs with one id are documents of their own. Texts of any length are taken whole; an empty table has no results.
+    Columns other than the two are not looked at, whatever their names.
     """
-    index = materialise(build_index(docs, id_column, text_column, shard_bytes), "index", compression="lz4")
-
-    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lengths = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, lengths))]), pa.array([int(sum(x.sum() for x in lengths))])], names=["n", "words"])
-
-    stats = map_batches(index.select("lengths"), count, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.count("*").alias("shards")).first()
-    documents, average = int(stats["n"] or 0), (stats["words"] or 0) / max(stats["n"] or 0, 1)
-    asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    asked = asked.groupBy("id").agg(F.min("text").alias("text"))
-    asked = materialise(asked, "queries")
-    size = asked.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
-    blocks = max(1, math.ceil(size / query_bytes))
-    parts = []
-    for b in range(blocks):
-        rows = sorted(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().to_pylist(), key=lambda r: r["id"])
-        wanted = []
-        for r in rows:
-            raw, off = text_buffer(pa.array([r["text"]], pa.string()))
-            terms = document_terms(raw, off)[0]
-            if len(terms):
-                wanted.append((r["id"], terms))
-        if not wanted:
-            continue
-        vocabulary = np.unique(np.concatenate([t for _, t in wanted]))
-        frequency = frequencies(index, vocabulary)
-        # The k best of one file of shards give each query a floor for all others.
-        first = search_shards(index.sparkSession.read.schema(index.schema).parquet(*sorted(index.inputFiles())[:1]), wanted, k, documents, average, None, frequency, vocabulary)
-        kth = {r["query_id"]: r["kth"] for r in first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
-        floors = np.array([kth.get(q, 0.0) for q, _ in wanted])
-        parts.append(search_shards(index, wanted, k, documents, average, floors, frequency, vocabulary))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        index = scratch.keep(build_index(docs, id_column, text_column, shard_bytes), "index", compression="lz4")
+
+        def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            lengths = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, lengths))]), pa.array([int(sum(x.sum() for x in lengths))])], names=["n", "words"])
+
+        stats = map_batches(index.select("lengths"), count, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+        documents, average = int(stats["n"] or 0), (stats["words"] or 0) / max(stats["n"] or 0, 1)
+        asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+        size = asked.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+        blocks = max(1, math.ceil(size / query_bytes))
+        asked = asked.groupBy("id").agg(F.min("text").alias("text")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        asked = scratch.keep(_query_terms(asked).repartition("block"), "queries")
+        files = sorted(index.inputFiles())
+        parts: list[DataFrame] = []
+        for b in range(blocks):
+            rows = asked.where(F.col("block") == b).toArrow().to_pylist()
+            wanted = [(r["id"], np.frombuffer(r["terms"], np.uint64)) for r in sorted(rows, key=lambda r: r["id"]) if r["terms"]]
+            if not wanted or not files:
+                continue
+            block = Queries(wanted)
+            frequency = frequencies(index, block.vocabulary)
+            # The k best of one file of shards give each query a floor for all others.
+            none = np.zeros(len(wanted))
+            first = search_shards(spark.read.schema(index.schema).parquet(files[0]), block, k, documents, average, none, frequency)
+            kth = {r["query_id"]: r["kth"] for r in first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
+            floors = np.array([kth.get(q, 0.0) for q, _ in wanted])
+            order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+            found = search_shards(index, block, k, documents, average, floors, frequency).withColumn("rank", F.row_number().over(order))
+            # Each block's results are written before the next begins: k rows a query.
+            parts.append(materialise(found.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found"))
+        if not parts:
+            return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+        return spark.read.schema(parts[0].schema).parquet(*[f for p in parts for f in p.inputFiles()])

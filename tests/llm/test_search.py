@@ -2,8 +2,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from linkfold.llm import search
+from linkfold.llm.common import text_buffer
 from linkfold.llm.search import B, K1, top_k
 
 
@@ -53,3 +57,32 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert top_k(empty, empty).count() == 0
     assert top_k(empty, spark.createDataFrame([(1, "a")], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_are_skipped_and_results_stay_exact():
+    r = random.Random(5)
+    kinds = [[f"{k}{i}" for i in range(300)] for k in "ab"]
+    weight = [1 / (i + 1) for i in range(300)]
+    texts = [" ".join(r.choices(kinds[i % 2], weight, k=r.randint(5, 80))) for i in range(2000)]
+    raw, off = text_buffer(pa.array(texts))
+    row = search._index_batch([search.document_terms(raw, off)], [np.arange(2000)])
+    names = {n: row.column(i)[0] for i, n in enumerate(row.schema.names)}
+    average = sum(len(t.split()) for t in texts) / 2000
+    asked = [(i, np.unique(search.word_hashes(*text_buffer(pa.array([texts[i]])))[0])) for i in range(0, 2000, 50)]
+    queries = search.Queries(asked)
+    df = Counter(w for t in texts for w in set(t.split()))
+    number = {int(search.word_hashes(*text_buffer(pa.array([w])))[0][0]): n for w, n in df.items()}
+    frequency = np.array([number[int(h)] for h in queries.vocabulary])
+    shard = search.Shard(names, average, queries, np.log1p((2000 - frequency + 0.5) / (frequency + 0.5)))
+    got = {q: list(zip(ids.tolist(), scores.tolist(), strict=True)) for q, ids, scores in shard.top(queries, np.arange(len(asked)), 5, np.zeros(len(asked)))}
+    for q, (i, _) in enumerate(asked):
+        want = brute(list(enumerate(texts)), [(i, texts[i])], 5)
+        assert [d for d, _ in got[q]] == [w[2] for w in want] and [s for _, s in got[q]] == [w[3] for w in want]
+    assert 0 < len(shard.weights) and shard.touched < 0.6 * shard.all
+
+
+def test_long_texts_many_short_ones_and_clashing_names(spark):
+    rows = [(i, f"w{i % 50}", "a", 1) for i in range(6000)] + [(9000, " ".join(f"w{i % 700}" for i in range(300_000)), "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, rank int")
+    out = top_k(docs, docs.where("doc_id in (7, 9000)"), 4).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in out) == [(r[0], r[1], r[2]) for r in sorted(brute([x[:2] for x in rows], [rows[7][:2], rows[-1][:2]], 4))]
