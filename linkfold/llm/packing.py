@@ -104,7 +104,10 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for batch in batches:
             _, off = text_buffer(batch.column(1))
             for i, j in slices(off, CALL_BYTES):
-                yield from zip(batch.column(0)[i:j].to_pylist(), encoder(vocabulary).encode(batch.column(1)[i:j].to_pylist()), strict=True)
+                ids, ends = encoder(vocabulary).encode_column(batch.column(1)[i:j])
+                raw = memoryview(ids).cast("B")
+                for doc, a, b in zip(batch.column(0)[i:j].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    yield doc, bytes(raw[4 * a : 4 * b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() * STRIDE

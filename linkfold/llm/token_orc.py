@@ -50,11 +50,9 @@ def encode_sorted(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in batches:
             _, off = text_buffer(batch.column(1))
             for i, j in slices(off, CALL_BYTES):
-                coded = encoder(vocabulary).encode(batch.column(1)[i:j].to_pylist())
-                sizes = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
-                starts = start + np.r_[0, np.cumsum(sizes)]
-                values = np.frombuffer(b"".join(coded), "<i4")
-                ids = pa.ListArray.from_arrays(pa.array(starts - start, pa.int32()), pa.array(values, pa.int32()))
+                values, ends = encoder(vocabulary).encode_column(batch.column(1)[i:j])
+                sizes, starts = np.diff(ends), start + ends
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view("<i4")))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, part, np.int32)), batch.column(0)[i:j], pa.array(starts[:-1]), pa.array(sizes), ids], schema=_ARROW)
                 start = int(starts[-1])
         release_memory()

@@ -23,10 +23,10 @@ def brute(docs, queries, k):
     for q, text in queries:
         if q is None:
             continue
-        found = []
+        found, asked = [], set(words(text))
         for i, bag in bags:
             size = sum(bag.values())
-            s = math.fsum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * (K1 + 1) / (bag[w] + K1 * (1 - B + B * size / average)) for w in set(words(text)) if bag[w])
+            s = math.fsum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * (K1 + 1) / (bag[w] + K1 * (1 - B + B * size / average)) for w in asked if bag[w])
             if s > 0:
                 found.append((-s, i))
         out += [(q, r + 1, i, pytest.approx(-s, rel=1e-9)) for r, (s, i) in enumerate(sorted(found)[:k])]
