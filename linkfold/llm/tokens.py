@@ -136,15 +136,14 @@ class PieceEncoder:
         coded = list(map(self.cache.get, pieces))
         places = [i for i, x in enumerate(coded) if x is None]
         new = [pieces[i] for i in places]
-        parts = [[x for x in m.groups() if x] if m else [] for m in map(_STEM.fullmatch, new)]
-        unseen = [x for x, p in zip(new, parts, strict=True) if len(p) < 2]
-        unseen += {x for p in parts if len(p) > 1 for x in p if x not in self.cache}.difference(unseen)
+        parts = {x: p for x in new if (x[:1] == "\n" or not x[-1:].isalpha()) and (m := _STEM.fullmatch(x)) and len(p := [y for y in m.groups() if y]) > 1}
+        unseen = [x for x in new if x not in parts]
+        unseen += {y for p in parts.values() for y in p if y not in self.cache}.difference(unseen)
         known = dict(zip(unseen, self._ids(unseen), strict=True))
         get = lambda x: known[x] if x in known else self.cache[x]
-        for i, x, p in zip(places, new, parts, strict=True):
-            if len(p) > 1:
-                known[x] = b"".join(map(get, p))
-            coded[i] = known[x]
+        known.update({x: b"".join(map(get, p)) for x, p in parts.items()})
+        for i, x in zip(places, map(known.__getitem__, new), strict=True):
+            coded[i] = x
         coded.append(END_ID.to_bytes(4, "little"))
         if len(self.cache) + len(known) <= self.kept:
             self.cache.update(known)
