@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkfold.functions.fixed import ALPHABET, ATLAS, SYMBOLS, TEMPLATES, TRANSCODER
+from linkfold.functions.fixed import ATLAS, SYMBOLS, TEMPLATES, TRANSCODER
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64_MAX = "18446744073709551615"
@@ -322,19 +322,3 @@ def format_bytes(n: Column) -> Column:
 
 def shorten_text(text: Column) -> Column:
     return F.when(F.length(text) > 45, F.concat(F.substring(text, 1, 42), F.lit("..."))).otherwise(text)
-
-
-def base66_encode_short(packed_hex: Column) -> Column:
-    """Base-66 digits of up to 11 bytes given as hexadecimal digits: the number behind a leading 1 byte, in digits 1 to 66."""
-    d = "decimal(38,0)"
-    value = F.aggregate(pieces(F.concat(F.lit("01"), packed_hex), "(..)"), F.lit(0).cast(d), lambda v, b: (v * F.lit(256).cast(d) + F.conv(b, 16, 10).cast(d)).cast(d))
-    sixty_six = F.lit(66).cast(d)
-
-    def step(s: Column, _: Column) -> Column:
-        less = (s["v"] - F.lit(1).cast(d)).cast(d)
-        digit = F.substring(F.lit(ALPHABET), (less % sixty_six).cast("int") + 1, F.lit(1))
-        quotient = F.floor(((less - (less % sixty_six)) / sixty_six).cast(d)).cast(d)
-        return F.when(s["v"] > 0, F.struct(quotient.alias("v"), F.concat(digit, s["out"]).alias("out"))).otherwise(s)
-
-    start = F.struct(value.alias("v"), F.lit("").alias("out"))
-    return F.when(packed_hex == "", F.lit("")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(18)), start, step, lambda s: s["out"]))

@@ -4,25 +4,134 @@
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
 #: Dictionary tokens; a token's number is its place, its byte 0x80 + number.
-ATLAS = """
-https://store.steampowered.com/app/ https://www.linkedin.com/posts/ https://www.youtube.com/watch?v=
-https://x.com/rustlang/status/ https://doc.rust-lang.org/book/ https://en.wikipedia.org/wiki/
-https://api.github.com/repos/ https://www.instagram.com/p/ https://github.com/rust-lang/ https://www.amazon.com/dp/
-https://www.reddit.com/r/ https://crates.io/crates/ https://twitter.com/ https://facebook.com/ https://youtube.com/
-https://github.com/ https://medium.com/ https://tiktok.com/ https://google.com/ https://apple.com/ https://wa.me/
-https://x.com/ https://shop. https://portal. https://api. https://dev. https://media. https://blog. https://m.
-https://mail. https://www. https:// http://www. http://
-/shop/products/deals/ /shop/products/ /wiki/articles/ /explore/tags/ /feed/trending/ /comments/thread/ /user/profile/
-/questions/tagged/ /questions/ /search?q= /track/event/ /blob/master/ /blob/main/ /comments/ /compiler/ /status/
-/issues/ /watch?v= /pull/ /posts/ /api/v1/ /api/v2/
-?state=open&sort=created&direction=desc ?utm_source= ?utm_medium= ?utm_campaign= ?utm_content= ?utm_term= ?fbclid=
-?gclid= ?igshid= ?ref= &utm_source= &utm_medium= &utm_campaign= &utm_content= &utm_term= &fbclid= &gclid= &igshid=
-&session_id= &timestamp= &msclkid= &twclid= &ttclid= &source= &ref= &amount= &label= &subject= &dn=
-.com/ .org/ .net/ .ru/ .io/
-distributed concurrency algorithms compression optimization performance benchmark analysis database compiler systems
-succinct entropy hashing manifest cluster vector payload token lexer shard graph rust
-magnet:?xt=urn:btih: ipfs://bafybeic ipfs:// ipns:// mailto: bitcoin: ethereum: file:/// ftp:// ssh:// wss:// ws:// urn:
-""".split()
+ATLAS = [
+    "https://store.steampowered.com/app/",
+    "https://www.linkedin.com/posts/",
+    "https://www.youtube.com/watch?v=",
+    "https://x.com/rustlang/status/",
+    "https://doc.rust-lang.org/book/",
+    "https://en.wikipedia.org/wiki/",
+    "https://api.github.com/repos/",
+    "https://www.instagram.com/p/",
+    "https://github.com/rust-lang/",
+    "https://www.amazon.com/dp/",
+    "https://www.reddit.com/r/",
+    "https://crates.io/crates/",
+    "https://twitter.com/",
+    "https://facebook.com/",
+    "https://youtube.com/",
+    "https://github.com/",
+    "https://medium.com/",
+    "https://tiktok.com/",
+    "https://google.com/",
+    "https://apple.com/",
+    "https://wa.me/",
+    "https://x.com/",
+    "https://shop.",
+    "https://portal.",
+    "https://api.",
+    "https://dev.",
+    "https://media.",
+    "https://blog.",
+    "https://m.",
+    "https://mail.",
+    "https://www.",
+    "https://",
+    "http://www.",
+    "http://",
+    "/shop/products/deals/",
+    "/shop/products/",
+    "/wiki/articles/",
+    "/explore/tags/",
+    "/feed/trending/",
+    "/comments/thread/",
+    "/user/profile/",
+    "/questions/tagged/",
+    "/questions/",
+    "/search?q=",
+    "/track/event/",
+    "/blob/master/",
+    "/blob/main/",
+    "/comments/",
+    "/compiler/",
+    "/status/",
+    "/issues/",
+    "/watch?v=",
+    "/pull/",
+    "/posts/",
+    "/api/v1/",
+    "/api/v2/",
+    "?state=open&sort=created&direction=desc",
+    "?utm_source=",
+    "?utm_medium=",
+    "?utm_campaign=",
+    "?utm_content=",
+    "?utm_term=",
+    "?fbclid=",
+    "?gclid=",
+    "?igshid=",
+    "?ref=",
+    "&utm_source=",
+    "&utm_medium=",
+    "&utm_campaign=",
+    "&utm_content=",
+    "&utm_term=",
+    "&fbclid=",
+    "&gclid=",
+    "&igshid=",
+    "&session_id=",
+    "&timestamp=",
+    "&msclkid=",
+    "&twclid=",
+    "&ttclid=",
+    "&source=",
+    "&ref=",
+    "&amount=",
+    "&label=",
+    "&subject=",
+    "&dn=",
+    ".com/",
+    ".org/",
+    ".net/",
+    ".ru/",
+    ".io/",
+    "distributed",
+    "concurrency",
+    "algorithms",
+    "compression",
+    "optimization",
+    "performance",
+    "benchmark",
+    "analysis",
+    "database",
+    "compiler",
+    "systems",
+    "succinct",
+    "entropy",
+    "hashing",
+    "manifest",
+    "cluster",
+    "vector",
+    "payload",
+    "token",
+    "lexer",
+    "shard",
+    "graph",
+    "rust",
+    "magnet:?xt=urn:btih:",
+    "ipfs://bafybeic",
+    "ipfs://",
+    "ipns://",
+    "mailto:",
+    "bitcoin:",
+    "ethereum:",
+    "file:///",
+    "ftp://",
+    "ssh://",
+    "wss://",
+    "ws://",
+    "urn:",
+]
 
 #: Tokens of the byte transcoder with their numbers; the first that fits is taken.
 TRANSCODER = [
@@ -64,13 +173,54 @@ TRANSCODER = [
 ]
 
 #: Symbols of the store's payloads; the first that fits is taken, its byte pair is FF and its place.
-SYMBOLS = """
-https://www. https:// http://www. http:// github.com/ amazon.com/dp/ store.steampowered.com/ instagram.com/p/
-reddit.com/r/ linkedin.com/posts/ wikipedia.org/wiki/ youtube.com/watch?v= crates.io/crates/ doc.rust-lang.org/
-?utm_source= &utm_medium= &utm_campaign= &gclid= &fbclid= ?ref= ?igshid= /status/ /comments/ /compiler/ /blob/master/
-.html .org .com .io ipfs:// magnet:?xt=urn:btih: mailto: bitcoin:
-0IL6S 0CbWV 0BXdx 0ARjp 0Acons 0ODif 0Cbt0 0HHnY 0BFVy 0GLds 0CBIK 0ymfp 0irBQ
-""".split()
+SYMBOLS = [
+    "https://www.",
+    "https://",
+    "http://www.",
+    "http://",
+    "github.com/",
+    "amazon.com/dp/",
+    "store.steampowered.com/",
+    "instagram.com/p/",
+    "reddit.com/r/",
+    "linkedin.com/posts/",
+    "wikipedia.org/wiki/",
+    "youtube.com/watch?v=",
+    "crates.io/crates/",
+    "doc.rust-lang.org/",
+    "?utm_source=",
+    "&utm_medium=",
+    "&utm_campaign=",
+    "&gclid=",
+    "&fbclid=",
+    "?ref=",
+    "?igshid=",
+    "/status/",
+    "/comments/",
+    "/compiler/",
+    "/blob/master/",
+    ".html",
+    ".org",
+    ".com",
+    ".io",
+    "ipfs://",
+    "magnet:?xt=urn:btih:",
+    "mailto:",
+    "bitcoin:",
+    "0IL6S",
+    "0CbWV",
+    "0BXdx",
+    "0ARjp",
+    "0Acons",
+    "0ODif",
+    "0Cbt0",
+    "0HHnY",
+    "0BFVy",
+    "0GLds",
+    "0CBIK",
+    "0ymfp",
+    "0irBQ",
+]
 
 #: Parametric links by number; {i} is the i-th slot.
 TEMPLATES = {

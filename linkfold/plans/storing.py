@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkfold.functions import codec, kernels
+from linkfold.functions.fixed import ANCHORS
 from linkfold.operators import objects, records, store
 from linkfold.plans import duck
 from linkfold.sources.links import delimiter_column, fields, link_column, order_links, page_links, third_field, with_scheme
@@ -128,13 +129,13 @@ FRONT = duck.links(
 
 def nearest_anchor(spark: S, sf_dir: str) -> D:
     links = page_links(spark, sf_dir)
-    anchors = links.where("seq < 10").select(F.col("seq").cast("int").alias("idx"), F.col("url").alias("anchor"))
+    anchors = links.orderBy("seq").limit(ANCHORS).select(F.col("seq").cast("int").alias("idx"), F.col("url").alias("anchor"))
     out = store.nearest_anchor(links, anchors, codec.similarity)
     return out.select("seq", "idx", F.floor(F.col("sim") * 10000 + 0.0000001).cast("long").alias("sim"))
 
 
 _SIM = f"len(list_filter(list_transform({duck.chars('l.url')}, lambda c, i: coalesce(c = {duck.chars('a.url')}[i], false)), lambda x: x))"
-ANCHOR = f"""WITH p AS (SELECT l.page_id AS seq, a.page_id::INTEGER AS idx, {_SIM}::DOUBLE / greatest(length(l.url), length(a.url)) AS sim FROM pages l, pages a WHERE a.page_id < 10)
+ANCHOR = f"""WITH p AS (SELECT l.page_id AS seq, a.page_id::INTEGER AS idx, {_SIM}::DOUBLE / greatest(length(l.url), length(a.url)) AS sim FROM pages l, (SELECT * FROM pages ORDER BY page_id LIMIT {ANCHORS}) a)
 SELECT seq, idx, floor(sim * 10000 + 0.0000001)::BIGINT AS sim FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY sim DESC, idx) AS n FROM p) WHERE n = 1 AND sim >= 0.35"""
 
 

@@ -95,7 +95,8 @@ def fields(line: Column, sep: str) -> Column:
 
 
 def read_links(spark: SparkSession, path: str, given: int | None = None, limit: int | None = None) -> DataFrame:
-    """seq and url of a file. Only the first line comes to the driver; seq grows with the place in the file."""
+    """seq and url of a file, or of all files of a folder, whose header lines are alike. Only the first line comes to the
+    driver; seq grows with the place in the file."""
     lines = spark.read.text(path)
     first = lines.first()
     if first is None:
@@ -111,7 +112,7 @@ def read_links(spark: SparkSession, path: str, given: int | None = None, limit:
         url = F.when(value != "", with_scheme(value))
     out = lines.where(F.trim("value") != "").withColumn("url", url).where(F.coalesce(F.col("url") != "", F.lit(False)))
     if header:
-        out = out.where(F.col("seq") != 0)
+        out = out.where(F.col("value") != first["value"])
     out = out.select("seq", "url")
     return out.orderBy("seq").limit(limit) if limit is not None else out
 

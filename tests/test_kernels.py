@@ -97,3 +97,45 @@ SKEWED = tuple(k.frequencies([1000 if chr(i) in "abc/" else 1 for i in range(256
 def test_bounds_skip_no_shorter_form(url, freqs):
     if url.strip():
         assert k.encode(url, freqs) == smallest_of_all(url, freqs or k.generic_frequencies())
+
+
+def test_base66_codes_of_whole_links(spark, sf_dir):
+    from linkfold.functions.fixed import ALPHABET
+    from linkfold.plans import codecs
+    from linkfold.sources.links import order_links
+
+    def plain(text):
+        value, digits = int("01" + text.encode().hex(), 16), ""
+        while value > 0:
+            digits = ALPHABET[(value - 1) % 66] + digits
+            value = (value - 1) // 66
+        return digits
+
+    urls = {r["seq"]: r["url"] for r in order_links(spark, sf_dir).collect()}
+    codes = codecs.base66(spark, sf_dir).collect()
+    assert len(codes) == len(urls) and all(r["code"] == plain(urls[r["seq"]].strip()) for r in codes)
+
+
+@pytest.mark.parametrize("url", ["mailto:a@b.c?subject=", "mailto:?subject=x?subject=y", "https://github.com/a/b/pull/7", "https://github.com/a/b/blob/m/x/y", "https://x.com/a/status/1/", "https://www.reddit.com/r/a/comments/b/c/d", "https://www.reddit.com/r/a/comments/b/c/", "https://www.youtube.com/watch?v=", "nothing", ""])
+def test_templates_by_plain_cutting(spark, url):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from linkfold.functions import codec
+    from linkfold.functions.fixed import TEMPLATES
+
+    want = None
+    for number, pattern in TEMPLATES.items():
+        first, *parts = re.split(r"\{\d+\}", pattern)
+        rest, slots = url[len(first) :] if url.startswith(first) else None, []
+        for p in parts:
+            if rest is not None:
+                at = len(rest) if p == "" else rest.find(p)
+                slots.append(rest[:at])
+                rest = None if at < 0 else rest[at + len(p) :]
+        if rest == "":
+            want = (number, slots)
+            break
+    got = spark.createDataFrame([(url,)], "u string").select(codec.template_match(F.col("u")).alias("m")).first()["m"]
+    assert (got and (got["id"], got["slots"])) == want

@@ -22,6 +22,12 @@ def test_files(spark, tmp_path, name, text, expected):
     assert links.read_links(spark, str(tmp_path / name), limit=1).count() == 1
 
 
+def test_a_folder_of_files_with_headers(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text(f"id,url\n{k},https://x.com/{k}\n")
+    assert sorted(r["url"] for r in links.read_links(spark, str(tmp_path)).collect()) == [f"https://x.com/{k}" for k in range(3)]
+
+
 def test_header_rules():
     assert links.link_column(["id", "Domain", " URL "]) == (2, True)
     assert links.link_column(["id", "url", "x"], given=2) == (1, True)
