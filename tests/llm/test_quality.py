@@ -129,3 +129,54 @@ def test_margins_are_sums_over_distinct_features():
     assert np.allclose(model.margins(raw, off), expected)
     alone = [qc.feature_sets(*text_buffer(pa.array([t])))[0] for t in texts]
     assert all(np.array_equal(a, b) for a, b in zip(alone, qc.feature_sets(raw, off), strict=False))
+
+
+def small_problem(seed=3, n=40, width=30):
+    r = np.random.default_rng(seed)
+    labels = (r.random(n) < 0.6).astype(np.int64)
+    sets = [np.flatnonzero(r.random(width) < np.where(np.arange(width) < 10, 0.15 + 0.3 * y, 0.2)).astype(np.int32) for y in labels]
+    return sets, labels
+
+
+def test_log_ratios_by_their_definition(monkeypatch):
+    monkeypatch.setattr(qc, "BITS", 5)
+    sets, labels = small_problem()
+    counts = {y: [1 + sum(f in set(s.tolist()) for s, l in zip(sets, labels, strict=True) if l == y) for f in range(32)] for y in (0, 1)}
+    want = [math.log(counts[1][f] / sum(counts[1])) - math.log(counts[0][f] / sum(counts[0])) for f in range(32)]
+    assert np.allclose(qc.log_ratios(sets, labels), want, atol=1e-6)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    sets, labels = small_problem()
+    values = np.linspace(-1.5, 1.5, 32)
+    cost = np.where(labels > 0, 0.4, 0.7)
+    w, bias = qc.dual_coordinate_descent(sets, values, labels, cost, epochs=3000, tolerance=1e-9)
+    x = np.zeros((len(sets), 33))
+    for i, s in enumerate(sets):
+        x[i, s] = values[s]
+    x[:, 32] = 1  # the bias is one more weight
+    sign = np.where(labels > 0, 1.0, -1.0)
+    # The same dual by projected gradient, from nothing but its definition.
+    gram = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha, step = np.zeros(len(sets)), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - sign * (x @ v))).sum()
+    assert np.allclose(np.r_[w, bias], (alpha * sign) @ x, atol=1e-3)
+    assert loss(np.r_[w, bias]) == pytest.approx(alpha.sum() - 0.5 * alpha @ gram @ alpha, rel=1e-4)
+
+
+def test_scores_of_odd_rows_ties_and_clashing_names(spark):
+    rows, labels = rows_and_labels(200)
+    long = " ".join(f"w{i % 900}" for i in range(200_000))
+    docs = [(i, t, "a", 0.5) for i, t, _ in rows] + [(900, long, "b", 0.1), (901, long, "c", 0.2)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, label string, score double")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = qc.classify(frame, marks).collect()
+    assert len(out) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= qc.THRESHOLD) for r in out)
+    score = {r["doc_id"]: r["score"] for r in out}
+    assert score[900] == score[901] and score[200] == score[201]  # equal texts, and null like empty
+    kept = qc.keep_good(frame, qc.learn(frame, marks))
+    assert kept.columns == frame.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in out if r["score"] >= qc.THRESHOLD)
+    assert qc.classify(frame.limit(0), marks).count() == 0
