@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Texts are handled in slices of about this many bytes, so that memory follows one slice and not an Arrow batch.
 SLICE_BYTES = 1 << 19
+#: Rows of one Arrow batch: with texts of any length, memory of JVM and worker follows the batch.
+BATCH_ROWS = 2000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,6 +111,15 @@ def release_memory() -> None:
         _libc.malloc_trim(0)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches at most BATCH_ROWS rows; a lower setting stays. The setting is read when a plan
+    runs, after the operator has returned it, so it stays with the session; it changes the size of batches alone."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty partitions give no rows."""
 
@@ -118,7 +129,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
                 yield from fn(batch)
         release_memory()
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def filter_batches(df: DataFrame, text_column: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
@@ -132,7 +143,7 @@ def filter_batches(df: DataFrame, text_column: str, mask: Callable[[pa.Array], n
                 yield batch.filter(pa.array(mask(batch.column(at))))
         release_memory()
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

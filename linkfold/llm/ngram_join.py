@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import Scratch, free_name, map_batches, materialise, mix64, release_memory, shingle_sets, slices, text_buffer
+from linkfold.llm.common import Scratch, bounded_batches, free_name, map_batches, materialise, mix64, release_memory, shingle_sets, slices, text_buffer
 
 WIDTH = 5
 #: Similarity as a fraction of whole numbers: a link has NUMERATOR * union <= DENOMINATOR * intersection.
@@ -185,7 +185,7 @@ def frequency_levels(docs: DataFrame, shingles: int) -> np.ndarray:
         yield from _chunks(table)
         release_memory()
 
-    chunks = docs.select(F.lit(0).alias("id"), "text").mapInArrow(run, "chunk int, data binary")
+    chunks = bounded_batches(docs.select(F.lit(0).alias("id"), "text")).mapInArrow(run, "chunk int, data binary")
     add = lambda a, b: np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype("<u4")
     return _gather(chunks, log2, "<u4", add, lambda x: np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8))
 
@@ -280,7 +280,7 @@ def postings(docs: DataFrame, levels: np.ndarray, shingles: int, buckets: int) -
             yield from send(found)
         release_memory()
 
-    return docs.mapInArrow(run, "bucket int, token binary, class binary, n binary, pos binary, parts binary")
+    return bounded_batches(docs).mapInArrow(run, "bucket int, token binary, class binary, n binary, pos binary, parts binary")
 
 
 def shared_postings(blocks: DataFrame, buckets: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import release_memory, slices, text_buffer
+from linkfold.llm.common import bounded_batches, release_memory, slices, text_buffer
 from linkfold.llm.tokens import CALL_BYTES, encoder
 
 SCHEMA = "id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         release_memory()
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return bounded_batches(rows).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import Scratch, map_batches, materialise, release_memory, slices, text_buffer, word_hashes
+from linkfold.llm.common import Scratch, bounded_batches, map_batches, materialise, release_memory, slices, text_buffer, word_hashes
 
 K1, B = 1.2, 0.75
 #: Text and documents of one shard, about, and text of one block of queries.
@@ -112,7 +112,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         release_memory()
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where(F.col("id").isNotNull())
-    return rows.mapInArrow(run, _SCHEMA)
+    return bounded_batches(rows).mapInArrow(run, _SCHEMA)
 
 
 class Queries:

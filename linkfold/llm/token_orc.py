@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkfold.llm.common import map_batches, release_memory, slices, text_buffer
+from linkfold.llm.common import bounded_batches, map_batches, release_memory, slices, text_buffer
 from linkfold.llm.tokens import CALL_BYTES, encoder
 
 SCHEMA = "part int, id long, part_start long, n_tokens long, ids array<int>"
@@ -57,7 +57,7 @@ def encode_sorted(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 start = int(starts[-1])
         release_memory()
 
-    return ranged.mapInArrow(run, SCHEMA)
+    return bounded_batches(ranged).mapInArrow(run, SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, **encode: object) -> None:

@@ -48,15 +48,14 @@ class PieceEncoder:
 
     def __init__(self, path: str, keeps_space: bool, kept: int = KEPT_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space, self.kept, self.cache = keeps_space, kept, {}
         # The same model without normalisation and patterns, for plain pieces; some of its ids mark a piece's end or start.
         bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tokenizer.model)  # shared, not a copy
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next") if keeps_space else pre_tokenizers.WhitespaceSplit(), bytes_])
         known = self.plain.get_vocab()
         self.marks = np.zeros(max(known.values()) + 1, bool)
@@ -106,7 +105,9 @@ class PieceEncoder:
         whole[shift + np.repeat(bounds[:-1] - base[:-1], counts)] = piece[shift + np.repeat(begins - base[:-1], counts)]
         sizes = size[whole]
         ends = np.r_[0, np.cumsum(sizes)]
-        ids = data[np.arange(int(ends[-1])) + np.repeat(start[whole] - ends[:-1], sizes)]
+        at = np.repeat(start[whole] - ends[:-1], sizes)
+        at += np.arange(len(at))
+        ids = data[at]
         return ids, ends[bounds]
 
     def _cut(self, column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], list[str]]:
