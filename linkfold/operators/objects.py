@@ -100,5 +100,5 @@ def unpack(containers: DataFrame, column: str = "container", hash_name: str = "b
 
 
 def dangling(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Manifest items without a blob. manifests: id, items; blobs: hash."""
+    """Manifest items without a blob. manifests: id, items (in one row or several); blobs: hash."""
     return manifests.select("id", F.explode("items").alias("hash")).join(blobs.select("hash"), "hash", "left_anti")

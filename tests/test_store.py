@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -108,3 +109,14 @@ def test_elias_fano_of_every_shard(spark, sf_dir):
         expected += [(shard, i, v, v & ((1 << w) - 1), i + (v >> w)) for i, v in enumerate(values)]
     assert len(offsets) == 4
     assert sorted(map(tuple, storing.elias_shards(spark, sf_dir).collect())) == sorted(expected)
+
+
+def test_dangling_pages_that_share_a_url(spark, tmp_path):
+    from linkfold.plans import storing
+
+    urls = {10: "https://a/", 11: "https://a/", 20: None, 23: None, 30: "https://b/", 40: "https://c/", 50: "https://c/"}
+    spark.createDataFrame(list(urls.items()), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    sha = {u: hashlib.sha256(u.encode()).hexdigest() for u in urls.values() if u}
+    got = storing.dangling(spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["hash"]) for r in got if r["hash"]) == [(0, sha["https://c/"]), (2, sha["https://a/"]), (2, sha["https://c/"])]
+    assert [r["id"] for r in got if r["hash"] is None] == [4]
