@@ -316,8 +316,21 @@ def liveness_by_status(status: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
+    """Bytes, or hundredths of the largest binary unit below n, rounded half to even by integers: n as a double over the
+    unit is exact, and a double's shortest decimal form may be a tie where the double is none."""
+    # The largest double below 2^63, which reads alike, in place of 2^63.
+    exact = F.least(n.cast("long"), F.lit((1 << 63) - 1024)).cast("double").cast("long")
+
+    def unit(size: int, name: str) -> Column:
+        one = F.lit(size).cast("long")
+        whole, parts = F.call_function("div", exact, one), exact % one * 100
+        cents, rest = F.call_function("div", parts, one), parts % one
+        up = (rest * 2 > size) | ((rest * 2 == size) & (cents % 2 == 1))
+        total = cents + F.when(up, 1).otherwise(0)
+        return F.format_string(f"%d.%02d {name}", whole + F.call_function("div", total, F.lit(100).cast("long")), total % 100)
+
     kb, mb, gb = 1024, 1024**2, 1024**3
-    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.2f KB", F.bround(n / kb, 2))).when(n < gb, F.format_string("%.2f MB", F.bround(n / mb, 2))).otherwise(F.format_string("%.2f GB", F.bround(n / gb, 2)))
+    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, unit(kb, "KB")).when(n < gb, unit(mb, "MB")).otherwise(unit(gb, "GB"))
 
 
 def shorten_text(text: Column) -> Column:

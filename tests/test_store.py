@@ -120,3 +120,14 @@ def test_dangling_pages_that_share_a_url(spark, tmp_path):
     got = storing.dangling(spark, str(tmp_path)).collect()
     assert sorted((r["id"], r["hash"]) for r in got if r["hash"]) == [(0, sha["https://c/"]), (2, sha["https://a/"]), (2, sha["https://c/"])]
     assert [r["id"] for r in got if r["hash"] is None] == [4]
+
+
+def test_sizes_round_as_their_exact_value(spark):
+    """Against printf of the same double: values whose shortest decimal form is a tie, ties, carries and units' bounds."""
+    r = random.Random(7)
+    values = [46467003522241000, 0, 1023, 1024, 1029, 1152, 1048575, 1048576, (1 << 30) - 1, 1 << 30, 9223372036854775000, (1 << 63) - 1]
+    values += [1024 * k + 128 * j for k in (1, 2, 7) for j in range(8)] + [r.randrange(1 << r.randint(11, 62)) for _ in range(3000)]
+    units = [(1024, "KB"), (1 << 20, "MB"), (1 << 30, "GB")]
+    want = [f"{n} B" if n < 1024 else next(f"{float(n) / u:.2f} {s}" for u, s in units if n < u * 1024 or s == "GB") for n in values]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, n long").select("i", codec.format_bytes(F.col("n")).alias("s")).collect()
+    assert [s for _, s in sorted(map(tuple, got))] == want
