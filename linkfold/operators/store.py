@@ -35,12 +35,13 @@ def blake3_keys(links: DataFrame) -> DataFrame:
     return links.withColumn("__k", run("url")).select(*links.columns, "__k.*")
 
 
-def allocate(links: DataFrame, store: DataFrame, key=sha_key, code_length: Column | None = None, lengths=LENGTHS, carry: DataFrame | None = None) -> DataFrame:
+def allocate(links: DataFrame, store: DataFrame, key=sha_key, code_length: Column | None = None, lengths=LENGTHS, carry: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """Keys for links in order of seq: each takes the shortest key that is free or already its own.
 
     Equal to one link after the other: keys of different lengths never meet, so at each length the earliest of those
     that lost all shorter ones takes a free key. A link whose stateless code is not longer than a key goes without
-    (key null). store: key, url. carry: url and further columns for `key` and `code_length`. Returns seq, url, key; raises KeysExhausted where all lengths are taken.
+    (key null). store: key, url. carry: url and further columns for `key` and `code_length`. Returns seq, url, key; raises KeysExhausted where all lengths are taken, or without `strict`
+    has no row for such a link.
     """
     own = Window.partitionBy("url").orderBy("seq")
     first = links.withColumn("__nth", F.row_number().over(own)).where("__nth = 1").select("seq", "url")
@@ -62,9 +63,9 @@ def allocate(links: DataFrame, store: DataFrame, key=sha_key, code_length: Colum
         left = tried.where(~wins).select(*columns)
         part = won.unionByName(short)
         done = part if done is None else done.unionByName(part)
-    exhausted = left.select("seq", "url", F.raise_error(F.lit("all keys of this link are taken")).cast("string").alias("key"))
-    placed = done.unionByName(exhausted)
-    return links.select("seq", "url").join(placed.select("url", "key"), "url").select("seq", "url", "key")
+    if strict:
+        done = done.unionByName(left.select("seq", "url", F.raise_error(F.lit("all keys of this link are taken")).cast("string").alias("key")))
+    return links.select("seq", "url").join(done.select("url", "key"), "url").select("seq", "url", "key")
 
 
 def put(store: DataFrame, new: DataFrame) -> DataFrame:

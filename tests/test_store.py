@@ -131,3 +131,21 @@ def test_sizes_round_as_their_exact_value(spark):
     want = [f"{n} B" if n < 1024 else next(f"{float(n) / u:.2f} {s}" for u, s in units if n < u * 1024 or s == "GB") for n in values]
     got = spark.createDataFrame(list(enumerate(values)), "i int, n long").select("i", codec.format_bytes(F.col("n")).alias("s")).collect()
     assert [s for _, s in sorted(map(tuple, got))] == want
+
+
+def test_links_that_find_all_keys_taken_are_left_out_without_strict(spark):
+    links = [(i, f"u{i}") for i in range(40)]
+    out = store.allocate(spark.createDataFrame(links, "seq long, url string"), spark.createDataFrame([], "key string, url string"), key=narrow, lengths=(1, 2), strict=False).collect()
+    want = one_by_one(links, [], (1, 2), 4)
+    assert "exhausted" in want.values()
+    assert {(r["seq"], r["url"]): r["key"] for r in out} == {k: v for k, v in want.items() if v != "exhausted"}
+
+
+def test_shorten_alloc_of_links_that_lose_every_short_key(spark, tmp_path, monkeypatch):
+    from linkfold.plans import storing
+
+    monkeypatch.setattr(storing, "SHORT", (1,))
+    rows = [(i, i) for i in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = storing.shorten_alloc(spark, str(tmp_path)).collect()
+    assert 0 < len(got) == len({r["key"] for r in got}) <= 16
