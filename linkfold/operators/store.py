@@ -64,7 +64,9 @@ def allocate(links: DataFrame, store: DataFrame, key=sha_key, code_length: Colum
         part = won.unionByName(short)
         done = part if done is None else done.unionByName(part)
     if strict:
-        done = done.unionByName(left.select("seq", "url", F.raise_error(F.lit("all keys of this link are taken")).cast("string").alias("key")))
+        # The error depends on the row's columns: a later filter on key, pushed down, raises for no other row.
+        taken = F.when(~wins, F.raise_error(F.lit("all keys of this link are taken")).cast("string"))
+        done = done.unionByName(tried.where(~wins).select("seq", "url", taken.alias("key")))
     return links.select("seq", "url").join(done.select("url", "key"), "url").select("seq", "url", "key")
 
 

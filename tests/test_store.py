@@ -149,3 +149,16 @@ def test_shorten_alloc_of_links_that_lose_every_short_key(spark, tmp_path, monke
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = storing.shorten_alloc(spark, str(tmp_path)).collect()
     assert 0 < len(got) == len({r["key"] for r in got}) <= 16
+
+
+def test_expand_of_links_whose_keys_collide(spark, tmp_path, monkeypatch):
+    from linkfold.plans import storing
+    from linkfold.sources.links import order_links
+
+    sha_key = store.sha_key
+    monkeypatch.setattr(store, "sha_key", lambda url, n: sha_key(url, 1 if n == 10 else n))
+    monkeypatch.setattr(store.allocate, "__defaults__", (store.sha_key, *store.allocate.__defaults__[1:]))
+    spark.createDataFrame([(i, i) for i in range(80)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    links = {r["seq"]: r["url"] for r in order_links(spark, str(tmp_path)).collect()}
+    got = storing.expand(spark, str(tmp_path)).where(F.col("seq") % 2 == 0).collect()
+    assert {r["seq"]: (r["url"], r["error"]) for r in got} == {s: (u, None) for s, u in links.items() if s % 2 == 0}
