@@ -213,7 +213,7 @@ def symbol_restore(packed: Column) -> Column:
 
 
 def characters(text: Column) -> Column:
-    return pieces(text, "((?s:.))")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, F.lit("")))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -233,20 +233,31 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), equal_places(a, b) / longest).otherwise(F.lit(0.0))
 
 
+def same_places(anchor: Column, target: Column) -> Column:
+    """Of each of the first 256 places, whether target has a character there that equals anchor's."""
+    first = [characters(F.substring(x, 1, 256)) for x in (anchor, target)]
+    return F.zip_with(*first, lambda x, y: F.coalesce(x == y, F.lit(False)))
+
+
+def mask_word(same: Column, word: int) -> Column:
+    """Bits of 64 of the places from 64 * word."""
+    return F.aggregate(F.reverse(F.slice(same, 64 * word + 1, 64)), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x, 1).otherwise(0)))
+
+
 def delta_mask(anchor: Column, target: Column, word: int) -> Column:
     """Bits of 64 places from 64 * word: set where target equals anchor."""
-    same = F.zip_with(characters(anchor), characters(target), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    part = F.slice(same, 64 * word + 1, 64)
-    indexed = F.transform(part, lambda x, i: F.when(x, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(indexed, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return mask_word(same_places(anchor, target), word)
 
 
 def delta_diffs(anchor: Column, target: Column) -> Column:
     """Characters of target that differ from anchor's, and all from place 256 on."""
-    own = characters(target)
-    other = characters(anchor)
-    kept = F.filter(F.transform(own, lambda x, i: F.when((i < 256) & F.coalesce(F.get(other, i) == x, F.lit(False)), F.lit("")).otherwise(x)), lambda x: x != "")
-    return F.array_join(kept, "")
+    return diffs_of(same_places(F.coalesce(anchor, F.lit("")), target), target)
+
+
+def diffs_of(same: Column, target: Column) -> Column:
+    # Characters are an argument, evaluated once a row; inside the lambda they would be split again for each place.
+    kept = F.zip_with(same, characters(F.substring(target, 1, 256)), lambda s, y: F.when(~s, y))
+    return F.concat(F.array_join(kept, ""), F.substring(target, 257, 1 << 30))
 
 
 # Small functions --------------------------------------------------------------------------------------------------

@@ -197,12 +197,17 @@ def _pairs(spark: S, sf_dir: str) -> D:
     return links.join(other, "seq")
 
 
+def _compared(spark: S, sf_dir: str) -> D:
+    """Pairs, with their equal places found once for all masks and diffs."""
+    return _pairs(spark, sf_dir).withColumn("same", codec.same_places(F.col("anchor"), F.col("url")))
+
+
 _PAIRS = duck.links(body=", pairs AS (SELECT a.seq, a.url, b.url AS anchor FROM links a JOIN links b ON a.seq = b.seq + 12)")
 
 
 def delta_diff(spark: S, sf_dir: str) -> D:
-    a, u = F.col("anchor"), F.col("url")
-    return _pairs(spark, sf_dir).select("seq", codec.delta_mask(a, u, 0).alias("mask0"), codec.delta_mask(a, u, 1).alias("mask1"), codec.delta_diffs(a, u).alias("diffs"), F.length("url").cast("long").alias("target_len"))
+    s, u = F.col("same"), F.col("url")
+    return _compared(spark, sf_dir).select("seq", codec.mask_word(s, 0).alias("mask0"), codec.mask_word(s, 1).alias("mask1"), codec.diffs_of(s, u).alias("diffs"), F.length("url").cast("long").alias("target_len"))
 
 
 _SAME = f"list_transform({duck.chars('url')}, lambda c, i: coalesce(c = {duck.chars('anchor')}[i], false))"
@@ -227,8 +232,8 @@ def delta_roundtrip(spark: S, sf_dir: str) -> D:
         rows = zip(anchor, size, a, b, c, d, diffs, strict=True)
         return pd.Series([kernels.delta_apply(x.encode(), n, [w % (1 << 64) for w in ws], y.encode()).decode() for x, n, *ws, y in rows])
 
-    a, u = F.col("anchor"), F.col("url")
-    return _pairs(spark, sf_dir).select("seq", apply(a, F.length(u), *[codec.delta_mask(a, u, w) for w in range(4)], codec.delta_diffs(a, u)).alias("url"))
+    s, u = F.col("same"), F.col("url")
+    return _compared(spark, sf_dir).select("seq", apply(F.col("anchor"), F.length(u), *[codec.mask_word(s, w) for w in range(4)], codec.diffs_of(s, u)).alias("url"))
 
 
 def similarity(spark: S, sf_dir: str) -> D:

@@ -162,3 +162,26 @@ def test_expand_of_links_whose_keys_collide(spark, tmp_path, monkeypatch):
     links = {r["seq"]: r["url"] for r in order_links(spark, str(tmp_path)).collect()}
     got = storing.expand(spark, str(tmp_path)).where(F.col("seq") % 2 == 0).collect()
     assert {r["seq"]: (r["url"], r["error"]) for r in got} == {s: (u, None) for s, u in links.items() if s % 2 == 0}
+
+
+def test_deltas_of_long_and_odd_texts(spark):
+    r = random.Random(3)
+    rows = [("", ""), ("", "ab"), ("ab", ""), (None, "a"), ("a", None), ("é😀x", "é😀yz"), ("a" * 300, "a" * 300)]
+    rows += [("".join(r.choices("abc", k=r.randint(0, 400))), "".join(r.choices("abc", k=r.randint(0, 400)))) for _ in range(40)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, u string")
+    out = df.select("i", *[codec.delta_mask(F.col("a"), F.col("u"), w).alias(f"m{w}") for w in range(4)], codec.delta_diffs(F.col("a"), F.col("u")).alias("d"))
+    for got in out.collect():
+        a, u = rows[got["i"]]
+        if a is None or u is None:
+            continue
+        same = [i < min(256, len(a)) and a[i] == c for i, c in enumerate(u)]
+        assert sum((got[f"m{w}"] % (1 << 64)) << (64 * w) for w in range(4)) == sum(1 << i for i, s in enumerate(same) if s)
+        assert got["d"] == "".join(c for s, c in zip(same, u, strict=True) if not s)
+    # Texts are taken apart once a row, not again for each character.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    for part in plan.split("lambdafunction(")[1:]:
+        depth, end = 1, 0
+        while depth and end < len(part):
+            depth += {"(": 1, ")": -1}.get(part[end], 0)
+            end += 1
+        assert "split(" not in part[:end] and "regexp_extract_all(" not in part[:end]
