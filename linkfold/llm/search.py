@@ -239,7 +239,8 @@ def search_shards(index: DataFrame, queries: Queries, k: int, documents: int, av
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, idf, floors = shared.value
         floor, count = floors.copy(), len(queries.ids)
-        best: list[list[tuple[float, int]]] = [[] for _ in range(count)]
+        # The k best so far of each query, best first: arrays, as tuples of all queries of a block take tens of MB.
+        scores_, ids_, held = np.empty((count, k)), np.empty((count, k), np.int64), np.zeros(count, np.int64)
         for batch in batches:
             for r in range(batch.num_rows):
                 shard = Shard({n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}, average, queries, idf)
@@ -247,14 +248,19 @@ def search_shards(index: DataFrame, queries: Queries, k: int, documents: int, av
                     continue
                 for a in range(0, count, TOGETHER):
                     for q, ids, scores in shard.top(queries, np.arange(a, min(a + TOGETHER, count)), k, floor):
-                        best[q] = merged = sorted([*best[q], *zip((-scores).tolist(), ids.tolist(), strict=True)])[:k]
-                        if len(merged) == k:
-                            floor[q] = max(floor[q], -merged[-1][0])
+                        all_scores, all_ids = np.r_[scores_[q, : held[q]], scores], np.r_[ids_[q, : held[q]], ids]
+                        top = np.lexsort((all_ids, -all_scores))[:k]
+                        held[q] = n = len(top)
+                        scores_[q, :n], ids_[q, :n] = all_scores[top], all_ids[top]
+                        if n == k:
+                            floor[q] = max(floor[q], scores_[q, k - 1])
                 del shard
-        rows = [(int(queries.ids[q]), d, -s) for q, found in enumerate(best) for s, d in found]
-        for a in range(0, len(rows), 20_000):
-            columns = list(zip(*rows[a : a + 20_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
+            del batch
+        step = max(1, 20_000 // max(k, 1))
+        for a in range(0, count, step):
+            used = np.arange(k) < held[a : a + step, None]
+            owner = np.repeat(queries.ids[a : a + step], held[a : a + step])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids_[a : a + step][used]), pa.array(scores_[a : a + step][used])], names=["query_id", "doc_id", "score"])
         release_memory()
 
     return index.mapInArrow(run, "query_id long, doc_id long, score double")
@@ -306,7 +312,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "do
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        index = scratch.keep(build_index(docs, id_column, text_column, shard_bytes), "index", compression="lz4")
+        # A file for each shard: a row group or an Arrow batch never holds several, in writing or reading.
+        index = scratch.keep(build_index(docs, id_column, text_column, shard_bytes), "index", compression="lz4", maxRecordsPerFile="1")
 
         def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             lengths = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]

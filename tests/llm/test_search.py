@@ -86,3 +86,11 @@ def test_long_texts_many_short_ones_and_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string, rank int")
     out = top_k(docs, docs.where("doc_id in (7, 9000)"), 4).collect()
     assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in out) == [(r[0], r[1], r[2]) for r in sorted(brute([x[:2] for x in rows], [rows[7][:2], rows[-1][:2]], 4))]
+
+
+def test_each_shard_is_a_file_of_its_own(spark, monkeypatch):
+    seen, frequencies = [], search.frequencies
+    monkeypatch.setattr(search, "frequencies", lambda index, v: seen.append((index.count(), len(index.inputFiles()))) or frequencies(index, v))
+    docs = spark.createDataFrame(corpus(2, 6000), "doc_id long, text string").where("doc_id is not null").coalesce(1)
+    top_k(docs, docs.where("doc_id = 3"), 5, shard_bytes=2000)
+    assert seen and seen[0][0] == seen[0][1] > 1
