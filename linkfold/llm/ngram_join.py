@@ -6,7 +6,8 @@ Documents with equal shingle sets form one class first; the join is between clas
    shingle with. Frequencies come from a table of counters over all shingles, its size following their number; any
    fixed order gives whole results, a better one shorter lists.
 2. Postings travel as columns of bytes, a block for each map task and hash bucket. Those of shingles that only one
-   class holds end there. Lists that are known to be long are dealt out in parts, and all their parts meet.
+   class holds end there, as do those that pass the length and positional filters with no other of their list. Lists
+   that are known to be long are dealt out in parts, and all their parts meet.
 3. Within each list, pairs that pass the length, positional and suffix filters are candidates. A task hands on no
    pairs but a spanning forest of its candidates: as many rows as classes, however many pairs. Connected candidates are a
    cluster; all links lie inside clusters.
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from linkfold.llm.common import Scratch, bounded_batches, free_name, map_batches, materialise, mix64, release_memory, shingle_sets, slices, text_buffer
 
@@ -46,6 +48,8 @@ LONG_LIST = 50_000
 SHORT_LIST = 32
 #: Classes of one block of a cluster.
 BLOCK = 512
+#: Classes in clusters, up to which each task has them all, 48 bytes each; with more, their sets are shuffled once more.
+HELD_MEMBERS = 1 << 20
 #: Classes that one task remembers, to emit a class once; beyond it a class may be emitted again, which is dropped later.
 SEEN = 200_000
 #: Postings that a map task holds before it sends them.
@@ -283,8 +287,26 @@ def postings(docs: DataFrame, levels: np.ndarray, shingles: int, buckets: int) -
     return bounded_batches(docs).mapInArrow(run, "bucket int, token binary, class binary, n binary, pos binary, parts binary")
 
 
+def partnered(token: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which postings, sorted by token and then by n, pass the size filters with another posting of their token.
+
+    Both filters of a pair together say no more than 4 n_b <= v_a and 4 n_a <= v_b for v = 5 n - 9 pos. So a posting has
+    a partner if, among those of its list with few enough shingles, another one's v is large enough: the largest v is
+    kept up to each place, and the second largest for postings that are among those themselves."""
+    total, n = NUMERATOR + DENOMINATOR, n.astype(np.int64)
+    v = DENOMINATOR * n - total * pos.astype(np.int64)
+    # Lists are told apart by their number in the upper bits, so one running maximum serves all; v is from 1 to 2^35.
+    base = np.cumsum(np.r_[0, token[1:] != token[:-1]][: len(token)]).astype(np.int64) << 35
+    largest = np.maximum.accumulate(base + v)
+    second = np.maximum.accumulate(np.maximum(base, np.minimum(base + v, np.r_[0, largest[:-1]][: len(token)])))
+    last = np.searchsorted(base + n, base + v // NUMERATOR, side="right") - 1
+    itself = v >= NUMERATOR * n
+    best = np.where(itself, second[last], largest[np.maximum(last, 0)])
+    return (last >= 0) & (best >= base + NUMERATOR * n)
+
+
 def shared_postings(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Postings whose list has two classes or more, or is in parts.
+    """Postings that have a partner in their list, by their sizes and places, or whose list is in parts.
 
     A task holds the postings of its buckets, whose number follows that of the shuffle's partitions; a list beyond
     LONG_LIST is in parts, in buckets of their own.
@@ -299,13 +321,12 @@ def shared_postings(blocks: DataFrame, buckets: int) -> DataFrame:
             return
         token, key, n, pos, parts = (np.concatenate(c) for c in found)
         found.clear()
-        order = np.lexsort((key, token))
+        order = np.lexsort((key, n, token))
         token, key = token[order], key[order]
         # Copies in several tasks give equal rows, next to each other here.
         keep = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
         order, token, key = order[keep], token[keep], key[keep]
-        counts = np.diff(np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]))
-        keep = (np.repeat(counts, counts) > 1) | (parts[order] > 1)
+        keep = partnered(token, n[order], pos[order]) | (parts[order] > 1)
         order, token, key = order[keep], token[keep], key[keep]
         columns = [token.view(np.int64), parts[order].astype(np.int32), key, n[order].astype(np.int32), pos[order].astype(np.int32)]
         for a in range(0, len(token), 50_000):
@@ -431,7 +452,10 @@ def candidate_edges(shared: DataFrame, classes: DataFrame) -> DataFrame:
 def sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
     """The members (first, class and more) with their shingles; the texts of the first documents are read again. A row
     may come more than once where a row of docs is repeated."""
-    bits = docs.sparkSession.sparkContext.broadcast(membership(members.select("first"), members.count()))  # 16 MB at most
+    count = members.count()
+    if count <= HELD_MEMBERS:
+        return _sets_of_few(members, docs)
+    bits = docs.sparkSession.sparkContext.broadcast(membership(members.select("first"), count))  # 16 MB at most
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).fill_null(_NAMELESS).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -445,6 +469,30 @@ def sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "first long, class long, shingles binary").join(members, ["first", "class"])
 
 
+def _sets_of_few(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same, with the members found where the texts are read, so that sets are shuffled by their clusters alone."""
+    table = members.toArrow().sort_by("class").combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast((table, np.unique(table.column("first").to_numpy())))
+    names = [*members.columns, "shingles"]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        table, firsts = shared.value
+        if not len(firsts):
+            return
+        own, first = table.column("class").to_numpy(), table.column("first").to_numpy()
+        ids = batch.column(0).fill_null(_NAMELESS).to_numpy(zero_copy_only=False).astype(np.int64)
+        some = firsts[np.minimum(np.searchsorted(firsts, ids), len(firsts) - 1)] == ids
+        batch, ids = batch.filter(pa.array(some)), ids[some]
+        for i, j, flat, ends in _sets(batch):
+            key = class_keys(flat, ends)[0]
+            at = np.minimum(np.searchsorted(own, key), len(own) - 1)
+            hit = np.flatnonzero((own[at] == key) & (first[at] == ids[i:j]) & (np.diff(ends) > 0))
+            sets = pa.array([flat[a:b].tobytes() for a, b in zip(ends[hit].tolist(), ends[hit + 1].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.take(pa.array(at[hit])).columns), sets], names=names)
+
+    return map_batches(docs, run, StructType([*members.schema.fields, StructField("shingles", BinaryType())]))
+
+
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars: node and root (the least node) for each linked node.
     The rounds grow with the logarithm of the longest path; if `most` do not settle them, it is an error."""

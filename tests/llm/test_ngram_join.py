@@ -78,6 +78,46 @@ def test_classes_alone_in_their_part_stay(spark):
     assert sorted((r["token"], r["class"]) for r in ngram_join.shared_postings(frame, 2).collect()) == [(1, 10), (1, 11)]
 
 
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_sets_of_members_with_repeated_and_null_ids(spark, monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_MEMBERS", held)
+    rows = [(1, "a b c d e f"), (1, "other words"), (2, "a b c d e f"), (None, "x y"), (3, ""), (4, "not asked")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    signed = {(r["id"], r["n"]): r["class"] for r in ngram_join.signatures(docs).collect()}
+    members = spark.createDataFrame([(1, signed[1, 2], 5), (ngram_join._NAMELESS, signed[None, 1], 6)], "first long, class long, cluster long")
+    out = ngram_join.sets_of(members, docs)
+    assert sorted((r["first"], r["class"], r["cluster"], len(r["shingles"])) for r in out.collect()) == sorted([(1, signed[1, 2], 5, 16), (ngram_join._NAMELESS, signed[None, 1], 6, 8)])
+    assert ("Join" in out._jdf.queryExecution().toString()) == (held == 0)
+
+
+def packed(spark, blocks):
+    rows = [(b, *(bytearray(np.array(c, kind).tobytes()) for c, (_, kind) in zip(zip(*rows, strict=True), ngram_join._POSTINGS, strict=True))) for b, rows in blocks]
+    return spark.createDataFrame(rows, "bucket int, token binary, class binary, n binary, pos binary, parts binary")
+
+
+def test_postings_without_a_partner_end_where_their_list_is(spark):
+    rows = [(7, 20, 100, 0, 1), (7, 21, 30, 0, 1), (7, 22, 31, 0, 1), (8, 20, 100, 20, 1), (8, 23, 100, 20, 1), (9, 20, 100, 11, 1), (9, 23, 100, 11, 1), (9, 20, 100, 11, 1)]
+    found = ngram_join.shared_postings(packed(spark, [(0, rows)]), 1).collect()
+    assert sorted((r["token"], r["class"], r["n"], r["pos"]) for r in found) == [(7, 21, 30, 0), (7, 22, 31, 0), (9, 20, 100, 11), (9, 23, 100, 11)]
+
+
+@pytest.mark.parametrize("most", [3, 12, 200, 2**32 - 1])
+def test_partners_are_those_of_the_size_filters(most):
+    r = np.random.default_rng(most)
+    for lists in (1, 5, 60):
+        token, n = np.sort(r.integers(0, 2**64, lists, dtype=np.uint64)[r.integers(0, lists, 120)]), r.integers(1 + most // 2 * int(most > 12), most, 120, endpoint=True)
+        pos = (r.random(120) * ngram_join.prefix_length(n)).astype(np.int64)
+        order = np.lexsort((n, token))
+        token, n, pos = token[order], n[order], pos[order]
+        pairs = ngram_join.Candidates(n, pos, pa.array([b""] * 120, pa.binary()))
+        i, j = np.divmod(np.arange(120 * 120), 120)
+        want = (pairs.size_filters(i, j) & (token[i] == token[j]) & (i != j)).reshape(120, 120).any(axis=1)
+        assert (ngram_join.partnered(token, n.astype(np.uint32), pos.astype(np.uint32)) == want).all()
+        assert lists == 60 or 0 < want.sum()
+    none = np.empty(0, np.uint32)
+    assert not len(ngram_join.partnered(none.astype(np.uint64), none, none))
+
+
 @pytest.mark.parametrize(("long_list", "block", "short"), [(50_000, 512, 32), (1, 7, 2), (3, 1, 1)])
 def test_every_link_is_counted(spark, monkeypatch, long_list, block, short):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
