@@ -9,7 +9,9 @@ Queries come in blocks of a bounded number of bytes; each block meets all shards
 parted as WAND parts them: rare terms bring documents in, terms that many documents have are held back. Rare terms'
 lists are added up. A block of documents whose best such sum, with the block maxima of the terms held back, stays below
 the query's k-th best score is skipped by all its cursors, and its postings of those terms aren't touched. The blocks
-with the best bounds go first and raise the floor for the others. Documents that then reach the floor are scored afresh,
+with the best bounds go first and raise the floor for the others. Shards are taken in rounds, each twice as large as
+those before it together and spread over all shards: the k best so far give each query a floor for the next round, so a
+round's tasks hand on a few times k rows a query however many they are, not k rows each. Documents that then reach the floor are scored afresh,
 always in the order of term hashes, so equal texts have equal scores wherever they lie. Ties go to the smaller id.
 """
 
@@ -35,6 +37,8 @@ BLOCK, TOGETHER = 64, 256
 HELD_BACK, HELD_TERMS = 1 / 200, 1024
 #: Blocks of the best bounds that are scored before the others.
 AHEAD = 2
+#: Each round of a block of queries takes so many times as many shards as all rounds before it together.
+ROUND = 2
 _INDEX = {"ids": "<i8", "lengths": "<i8", "ptr": "<i8", "term": "<i4", "tf": "<i4", "vocabulary": "<u8", "df": "<i4", "block_ptr": "<i8", "block_term": "<i4", "block_tf": "<i4", "block_least": "<i8"}
 _SCHEMA = ", ".join(f"{name} binary" for name in _INDEX)
 
@@ -231,8 +235,20 @@ def _ranges(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(sizes.sum())) + np.repeat(start - np.r_[0, np.cumsum(sizes)[:-1]], sizes), sizes
 
 
+def rounds(files: list[str]) -> list[list[str]]:
+    """The files in rounds, each spread over all of them and ROUND times as large as those before it, about."""
+    step, out, taken = 1, [], set()
+    while step * (ROUND + 1) < len(files):
+        step *= ROUND + 1
+    while step:
+        out.append([f for i, f in enumerate(files) if i % step == 0 and i not in taken])
+        taken.update(range(0, len(files), step))
+        step //= ROUND + 1
+    return [x for x in out if x]
+
+
 def search_shards(index: DataFrame, queries: Queries, k: int, documents: int, average: float, floors: np.ndarray, frequency: np.ndarray) -> DataFrame:
-    """Each task's k best for each query over its shards: query_id, doc_id, score."""
+    """Each task's k best for each query over its shards, those below the query's floor left out: query_id, doc_id, score."""
     idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
     shared = index.sparkSession.sparkContext.broadcast((queries, idf, floors))  # bounded by QUERY_BYTES
 
@@ -248,6 +264,8 @@ def search_shards(index: DataFrame, queries: Queries, k: int, documents: int, av
                     continue
                 for a in range(0, count, TOGETHER):
                     for q, ids, scores in shard.top(queries, np.arange(a, min(a + TOGETHER, count)), k, floor):
+                        # k others reach the floor already; at the floor itself ids decide.
+                        ids, scores = ids[scores >= floor[q]], scores[scores >= floor[q]]
                         all_scores, all_ids = np.r_[scores_[q, : held[q]], scores], np.r_[ids_[q, : held[q]], ids]
                         top = np.lexsort((all_ids, -all_scores))[:k]
                         held[q] = n = len(top)
@@ -335,15 +353,18 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "do
                 continue
             block = Queries(wanted)
             frequency = frequencies(index, block.vocabulary)
-            # The k best of one file of shards give each query a floor for all others.
-            none = np.zeros(len(wanted))
-            first = search_shards(spark.read.schema(index.schema).parquet(files[0]), block, k, documents, average, none, frequency)
-            kth = {r["query_id"]: r["kth"] for r in first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
-            floors = np.array([kth.get(q, 0.0) for q, _ in wanted])
+            floors, best = np.zeros(len(wanted)), None
             order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-            found = search_shards(index, block, k, documents, average, floors, frequency).withColumn("rank", F.row_number().over(order))
-            # Each block's results are written before the next begins: k rows a query.
-            parts.append(materialise(found.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found"))
+            for some in (turns := rounds(files)):
+                found = search_shards(spark.read.schema(index.schema).parquet(*some), block, k, documents, average, floors, frequency)
+                found = (found if best is None else found.unionByName(best)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                if some is turns[-1]:
+                    # Each block's results are written before the next begins: k rows a query.
+                    parts.append(materialise(found.select("query_id", "rank", "doc_id", "score"), "found"))
+                    break
+                best = scratch.keep(found.select("query_id", "doc_id", "score"), "best")
+                kth = {r["query_id"]: r["kth"] for r in best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
+                floors = np.array([kth.get(q, 0.0) for q, _ in wanted])
         if not parts:
             return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
         return spark.read.schema(parts[0].schema).parquet(*[f for p in parts for f in p.inputFiles()])

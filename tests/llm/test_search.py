@@ -94,3 +94,31 @@ def test_each_shard_is_a_file_of_its_own(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(2, 6000), "doc_id long, text string").where("doc_id is not null").coalesce(1)
     top_k(docs, docs.where("doc_id = 3"), 5, shard_bytes=2000)
     assert seen and seen[0][0] == seen[0][1] > 1
+
+
+def test_rounds_hold_each_file_once_and_grow():
+    for n in (1, 2, 3, 4, 9, 10, 64, 500):
+        files = [f"f{i:03}" for i in range(n)]
+        turns = search.rounds(files)
+        assert sorted(f for x in turns for f in x) == files
+        assert all(len(x) <= 2 * sum(map(len, turns[:i])) for i, x in enumerate(turns) if i) and len(turns[0]) <= 3
+
+
+def test_tasks_hand_on_few_rows_however_many_shards_there_are(spark, monkeypatch):
+    r = random.Random(8)
+    names = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(r.choices(names, k=40))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    queries = docs.where("doc_id % 100 = 0")
+    seen, plain = [], search.search_shards
+    monkeypatch.setattr(search, "search_shards", lambda *a: seen.append(plain(*a)) or seen[-1])
+    monkeypatch.setattr(search.Scratch, "close", lambda self: None)  # so that rows can be counted afterwards
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # a task for each shard
+    try:
+        out = top_k(docs, queries, 5, shard_bytes=4000)
+        got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in out.collect())
+        made = sum(x.count() for x in seen)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(brute(rows, [x for x in rows if x[0] % 100 == 0], 5), key=lambda x: x[:2])
+    assert len(rows) * 40 * 5 // 4000 > 50 and made < 12 * 5 * 20
