@@ -284,26 +284,25 @@ def search_shards(index: DataFrame, queries: Queries, k: int, documents: int, av
     return index.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
-def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Documents that hold each of the sorted terms, over all shards."""
-    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
+def frequencies(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """block, term (hash as a long), n: documents over all shards that hold the term, for each term that a block's queries ask for.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
+    A shard hands on its own terms, once for all blocks: rows grow with the shards, not with shards times queries."""
+
+    def held(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for r in range(batch.num_rows):
-            own, df = (np.frombuffer(batch.column(i)[r].as_buffer(), _INDEX[n]) for i, n in enumerate(("vocabulary", "df")))
-            if len(own):
-                at = np.minimum(np.searchsorted(own, shared.value), len(own) - 1)
-                total += np.where(own[at] == shared.value, df[at], 0)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(i)[r].as_buffer(), kind)) for i, kind in enumerate(("<i8", _INDEX["df"]))], names=["term", "n"])
+
+    def wanted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        of = batch.column(1).to_numpy()
+        for b in np.unique(of).tolist():
+            terms = np.unique(np.concatenate([np.frombuffer(batch.column(0)[r].as_buffer(), "<i8") for r in np.flatnonzero(of == b).tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), b, np.int64)), pa.array(terms)], names=["block", "term"])
 
-    found = map_batches(index.select("vocabulary", "df"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(vocabulary), np.int64)
-    table = found.toArrow()  # at most one row for each term of a bounded block of queries
-    out[table.column("term").to_numpy()] = table.column("n").to_numpy()
-    shared.destroy()
-    return out
+    counts = map_batches(index.select("vocabulary", "df"), held, "term long, n int").groupBy("term").agg(F.sum("n").alias("n"))
+    terms = map_batches(asked.select("terms", "block"), wanted, "block long, term long").distinct()
+    # Neither side is small on large tables; one block's rows lie together in each file.
+    return terms.hint("merge").join(counts, "term").select("block", "term", "n").sortWithinPartitions("block")
 
 
 def _query_terms(asked: DataFrame) -> DataFrame:
@@ -345,6 +344,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "do
         asked = asked.groupBy("id").agg(F.min("text").alias("text")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
         asked = scratch.keep(_query_terms(asked).repartition("block"), "queries")
         files = sorted(index.inputFiles())
+        counted = scratch.keep(frequencies(index, asked), "frequencies")
         parts: list[DataFrame] = []
         for b in range(blocks):
             rows = asked.where(F.col("block") == b).toArrow().to_pylist()
@@ -352,7 +352,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "do
             if not wanted or not files:
                 continue
             block = Queries(wanted)
-            frequency = frequencies(index, block.vocabulary)
+            table = counted.where(F.col("block") == b).select("term", "n").toArrow()  # at most one row for each term of a bounded block of queries
+            frequency = np.zeros(len(block.vocabulary), np.int64)
+            frequency[np.searchsorted(block.vocabulary, table.column("term").to_numpy().view(np.uint64))] = table.column("n").to_numpy()
             floors, best = np.zeros(len(wanted)), None
             order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
             for some in (turns := rounds(files)):

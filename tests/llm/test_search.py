@@ -122,3 +122,25 @@ def test_tasks_hand_on_few_rows_however_many_shards_there_are(spark, monkeypatch
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == sorted(brute(rows, [x for x in rows if x[0] % 100 == 0], 5), key=lambda x: x[:2])
     assert len(rows) * 40 * 5 // 4000 > 50 and made < 12 * 5 * 20
+
+
+def test_terms_are_counted_once_however_many_blocks_of_queries_there_are(spark, monkeypatch):
+    made, shards, plain, build = [], [], search.map_batches, search.build_index
+
+    def spy(df, fn, schema):
+        out = plain(df, fn, schema)
+        if schema.startswith("term long, n"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "map_batches", spy)
+    monkeypatch.setattr(search, "build_index", lambda *a: shards.append(build(*a).count()) or build(*a))
+    r = random.Random(9)
+    names = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(r.choices(names, k=40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = top_k(docs, docs.where("doc_id % 20 = 0"), 5, query_bytes=150)
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in out.collect())
+    assert got == sorted(brute(rows, [x for x in rows if x[0] % 20 == 0], 5), key=lambda x: x[:2])
+    # Each shard's terms at most once, not once for each block of queries.
+    assert shards == [4] and 0 < sum(made) <= 4 * len(names)
